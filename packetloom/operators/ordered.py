@@ -155,15 +155,17 @@ class OrderedGroups:
         """Position of each row in its group, from 1."""
         return self.running(**{name: Running("sum", F.lit(1).cast("bigint"))})
 
-    def over_last(self, n: int, compute, chunk_rows: int | None = None) -> DataFrame:
+    def over_last(self, n: int, compute, chunk_rows: int | None = None, prepare=None) -> DataFrame:
         """``compute(window)`` gives columns whose frames reach at most ``n`` rows back.
+        ``prepare(window)`` may add columns over the whole partition for ``compute`` to use.
 
         Hot groups are cut into chunks of a fixed row count; each chunk also gets the last
         ``n`` rows of the chunk before it, so that every frame is complete.
         """
         if not self.split:
             window = Window.partitionBy(*self.keys).orderBy(*self.order)
-            return self._df.withColumns(compute(window))
+            df = self._df.withColumns(prepare(window)) if prepare else self._df
+            return df.withColumns(compute(window))
         size = max(chunk_rows or CHUNK_ROWS, n)
         pos = F.col("_rn") - 1
         chunk = F.floor(pos / size)
@@ -171,6 +173,7 @@ class OrderedGroups:
         df = self.numbered("_rn").df.withColumn(_CHUNK, F.explode(needed))
         df = df.withColumn(_OWN, F.col(_CHUNK) == chunk)
         window = Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
+        df = df.withColumns(prepare(window)) if prepare else df
         return df.withColumns(compute(window)).filter(_OWN).drop("_rn", _CHUNK, _OWN)
 
 

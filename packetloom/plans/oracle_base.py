@@ -60,6 +60,6 @@ def with_(uses: str, body: str, doubles: str = "", recursive: bool = False) -> s
     ctes = ",\n".join(parts + ([head.strip().rstrip(",")] if head.strip() else []))
     final = ("select" + tail) if head or "select_final" in body else tail
     if doubles:
-        reps = ", ".join(f"round({d}, 6) + 0.0e0 as {d}" for d in doubles.split())
+        reps = ", ".join(f"round({d} + 3e-10, 6) + 0.0e0 as {d}" for d in doubles.split())
         final = f"select * replace ({reps}) from ({final})"
     return f"with {'recursive ' if recursive else ''}{ctes}\n{final}"
