@@ -70,12 +70,20 @@ def has_group_over(df: DataFrame, keys: list[str], limit: int) -> bool:
     return not counts.filter(F.col("n") > limit).isEmpty()
 
 
+def needs_split(df: DataFrame, keys: list[str], hot_rows: int | bool | None) -> bool:
+    """Whether to cut groups. ``hot_rows`` is the limit per group (None: the default); True or
+    False is an answer the caller already has, e.g. from a coarser key."""
+    if isinstance(hot_rows, bool):
+        return hot_rows
+    return has_group_over(df, keys, HOT_ROWS if hot_rows is None else hot_rows)
+
+
 class OrderedGroups:
     """Rows of ``df`` grouped by ``keys`` and totally ordered by the columns ``order``."""
 
     def __init__(self, df, keys, order, hot_rows=None, parts=None):
         self.keys, self.order = list(keys), list(order)
-        self.split = has_group_over(df, self.keys, HOT_ROWS if hot_rows is None else hot_rows)
+        self.split = needs_split(df, self.keys, hot_rows)
         if self.split:
             by = [F.col(c) for c in self.keys + self.order]
             ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
@@ -181,25 +189,31 @@ def sliding_sums(df, keys, ts, seq, width, sums, hot_rows=None, parts=None) -> D
     """Per row, sums over the rows of its group in ``(ts - width, ts]`` up to the row itself;
     rows of equal time count in the order of ``seq``. ``(keys, ts, seq)`` must be unique."""
     order = [ts, seq]
-    if not has_group_over(df, keys, HOT_ROWS if hot_rows is None else hot_rows):
+    if not needs_split(df, keys, hot_rows):
         rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         gone = Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, -width)
         return df.withColumns({
             n: F.sum(c).over(rows) - F.coalesce(F.sum(c).over(gone), F.lit(0)) for n, c in sums.items()})
-    payload = [c for c in df.columns if c not in keys]
-    arrivals = df.select(*keys, F.col(ts).alias("_t"), F.lit(0).alias("_probe"), F.col(seq).alias("_s"),
-                         F.col(ts).alias("_at"), F.struct(*payload).alias("_row"),
-                         *[c.alias(f"_v_{n}") for n, c in sums.items()])
-    probes = df.select(*keys, (F.col(ts) - width).alias("_t"), F.lit(1).alias("_probe"),
-                       F.col(seq).alias("_s"), F.col(ts).alias("_at"),
-                       *[F.lit(0).alias(f"_v_{n}") for n in sums])
-    both = arrivals.unionByName(probes, allowMissingColumns=True)
-    run = OrderedGroups(both, keys, ["_t", "_probe", "_s"], hot_rows=0, parts=parts).running(
+    payload = F.struct(*[c for c in df.columns if c not in keys])
+
+    def point(at, probe, row, values):
+        return F.struct(at.alias("_t"), F.lit(probe).alias("_probe"), row.alias("_row"),
+                        *[v.cast("double").alias(f"_v_{n}") if floating[n] else v.cast("bigint").alias(f"_v_{n}")
+                          for n, v in values.items()])
+
+    kinds = df.select(*[c.alias(n) for n, c in sums.items()]).schema
+    floating = {f.name: f.dataType.typeName() in ("double", "float") for f in kinds.fields}
+    points = F.array(
+        point(F.col(ts), 0, payload, sums),
+        point(F.col(ts) - width, 1, F.lit(None).cast(df.select(payload).schema[0].dataType), {n: F.lit(0) for n in sums}))
+    both = df.select(*keys, F.col(seq).alias("_s"), F.col(ts).alias("_at"), F.explode(points).alias("_p"))
+    both = both.select(*keys, "_s", "_at", "_p.*")
+    run = OrderedGroups(both, keys, ["_t", "_probe", "_s"], True, parts).running(
         **{f"_p_{n}": Running("sum", F.col(f"_v_{n}")) for n in sums}).df
     sign = F.when(F.col("_probe") == 0, 1).otherwise(-1)
     out = run.groupBy(*keys, "_at", "_s").agg(
         F.max("_row").alias("_row"), *[F.sum(F.col(f"_p_{n}") * sign).alias(n) for n in sums])
-    return out.select(*keys, "_row.*", *sums)
+    return out.select(*keys, "_row.*", *sums).select(*df.columns, *sums)
 
 
 def sliding_distinct(df, keys, ts, seq, value, width, name, hot_rows=None, parts=None) -> DataFrame:
@@ -208,19 +222,20 @@ def sliding_distinct(df, keys, ts, seq, value, width, name, hot_rows=None, parts
     A value adds one when it was not seen in the last ``width`` and takes one away when it
     runs out, so the count is a running sum and no row ever holds a set.
     """
-    seen = OrderedGroups(df, [*keys, value], [ts, seq], hot_rows, parts)
+    split = needs_split(df, keys, hot_rows)  # a hot (key, value) needs a hot key
+    seen = OrderedGroups(df, [*keys, value], [ts, seq], split, parts)
     seen = seen.previous(_prev=F.col(ts)).following(_next=F.col(ts)).df
     fresh = F.when(F.col("_prev").isNull() | (F.col("_prev") <= F.col(ts) - width), 1).otherwise(0)
-    rows = seen.select(*df.columns, F.col(ts).alias("_t"), F.lit(1).alias("_arrival"),
-                       F.col(seq).alias("_s"), fresh.alias("_d"))
     last = F.col("_next").isNull() | (F.col("_next") >= F.col(ts) + width)
-    expiries = seen.filter(last).select(
-        *keys, (F.col(ts) + width).alias("_t"), F.lit(0).alias("_arrival"), F.col(seq).alias("_s"),
-        F.lit(-1).alias("_d"))
-    both = rows.unionByName(expiries, allowMissingColumns=True)
-    run = OrderedGroups(both, keys, ["_t", "_arrival", "_s"], hot_rows, parts)
+    payload = F.struct(*[c for c in df.columns if c not in keys])
+    arrival = F.struct(F.col(ts).alias("_t"), F.lit(1).alias("_arrival"), fresh.alias("_d"), payload.alias("_row"))
+    expiry = F.struct((F.col(ts) + width).alias("_t"), F.lit(0).alias("_arrival"), F.lit(-1).alias("_d"),
+                      F.lit(None).cast(df.select(payload).schema[0].dataType).alias("_row"))
+    points = F.when(last, F.array(arrival, expiry)).otherwise(F.array(arrival))
+    both = seen.select(*keys, F.col(seq).alias("_s"), F.explode(points).alias("_p")).select(*keys, "_s", "_p.*")
+    run = OrderedGroups(both, keys, ["_t", "_arrival", "_s"], split, parts)
     out = run.running(**{name: Running("sum", F.col("_d"))}).df
-    return out.filter("_arrival = 1").select(*df.columns, name)
+    return out.filter("_arrival = 1").select(*keys, "_row.*", name).select(*df.columns, name)
 
 
 def ranked_values(df, value, keys=(), hot_rows=None, parts=None) -> DataFrame:

@@ -22,6 +22,7 @@ def local_session(name: str = "packetloom", cores: str = "8", memory: str = "8g"
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
