@@ -163,9 +163,11 @@ class OrderedGroups:
         """Position of each row in its group, from 1."""
         return self.running(**{name: Running("sum", F.lit(1).cast("bigint"))})
 
-    def over_last(self, n: int, compute, chunk_rows: int | None = None, prepare=None) -> DataFrame:
+    def over_last(self, n: int, compute, chunk_rows: int | None = None, prepare=None,
+                  keep_chunks: bool = False) -> DataFrame:
         """``compute(window)`` gives columns whose frames reach at most ``n`` rows back.
         ``prepare(window)`` may add columns over the whole partition for ``compute`` to use.
+        ``keep_chunks`` returns all chunk rows with ``_rn``, ``_chunk`` and ``_own``.
 
         Hot groups are cut into chunks of a fixed row count; each chunk also gets the last
         ``n`` rows of the chunk before it, so that every frame is complete.
@@ -173,7 +175,9 @@ class OrderedGroups:
         if not self.split:
             window = Window.partitionBy(*self.keys).orderBy(*self.order)
             df = self._df.withColumns(prepare(window)) if prepare else self._df
-            return df.withColumns(compute(window))
+            df = df.withColumns(compute(window))
+            return df.withColumns({"_rn": F.row_number().over(window).cast("bigint"), _CHUNK: F.lit(0).cast("bigint"),
+                                   _OWN: F.lit(True)}) if keep_chunks else df
         size = max(chunk_rows or CHUNK_ROWS, n)
         pos = F.col("_rn") - 1
         chunk = F.floor(pos / size)
@@ -182,7 +186,8 @@ class OrderedGroups:
         df = df.withColumn(_OWN, F.col(_CHUNK) == chunk)
         window = Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
         df = df.withColumns(prepare(window)) if prepare else df
-        return df.withColumns(compute(window)).filter(_OWN).drop("_rn", _CHUNK, _OWN)
+        df = df.withColumns(compute(window))
+        return df if keep_chunks else df.filter(_OWN).drop("_rn", _CHUNK, _OWN)
 
 
 def sliding_sums(df, keys, ts, seq, width, sums, hot_rows=None, parts=None) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from packetloom.plans import detection, sequences, traffic  # noqa: F401
+from packetloom.plans import detection, sequences, state, traffic  # noqa: F401
 from packetloom.plans.registry import ORACLES, QUERIES  # noqa: F401
