@@ -187,12 +187,20 @@ ATTACK_FAMILIES = {
 }
 
 
-def attack_family(label: Column) -> Column:
-    """Dataset label to attack family; every ``Web Attack`` spelling is one family."""
+# fixed values: the second naming of the families
+SPACED_FAMILIES = {"BENIGN": "Benign", "Botnet": "Bot", "BruteForce": "Brute Force", "PortScan": "Port Scan", "WebAttack": "Web Attack"}
+
+
+def attack_family(label: Column, spaced: bool = False) -> Column:
+    """Dataset label to attack family; every ``Web Attack`` spelling is one family.
+    ``spaced`` gives the names of the binary evaluation (Benign, Port Scan, ...)."""
+    def named(family):
+        return SPACED_FAMILIES.get(family, family) if spaced else family
+
     trimmed = F.trim(label)
-    out = F.when(trimmed.startswith("Web Attack"), "WebAttack")
+    out = F.when(trimmed.startswith("Web Attack"), named("WebAttack"))
     for raw, family in ATTACK_FAMILIES.items():
-        out = out.when(trimmed == raw, family)
+        out = out.when(trimmed == raw, named(family))
     return out.otherwise(trimmed)
 
 

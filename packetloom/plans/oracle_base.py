@@ -58,6 +58,8 @@ def with_(uses: str, body: str, doubles: str = "", recursive: bool = False) -> s
     parts = ([CTES["ev"]] if any(n not in _NO_EV for n in names) else []) + [CTES[n] for n in names if n != "ev"]
     head, tail = body.rsplit("select_final", 1) if "select_final" in body else ("", body)
     ctes = ",\n".join(parts + ([head.strip().rstrip(",")] if head.strip() else []))
+    if not ctes:
+        return body if not doubles else f"select * replace ({', '.join(f'round({d} + 3e-10, 6) + 0.0e0 as {d}' for d in doubles.split())}) from ({body})"
     final = ("select" + tail) if head or "select_final" in body else tail
     if doubles:
         reps = ", ".join(f"round({d} + 3e-10, 6) + 0.0e0 as {d}" for d in doubles.split())

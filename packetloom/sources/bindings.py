@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.sources.frames import pinned
+
 EPOCH_US = 1704067200000000
 SQUEEZE = 8640
 
@@ -203,3 +205,66 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"),
         F.col("label").cast("string").alias("label"), (F.col("label") == 9).cast("int").alias("y"))
+
+
+def _hex(n, digits: int):
+    n = n if hasattr(n, "cast") else F.lit(n)
+    return F.lpad(F.hex(n.cast("bigint")), digits, "0")
+
+
+def _text(*parts):
+    return F.hex(F.encode(F.concat(*[p if hasattr(p, "cast") else F.lit(p) for p in parts]), "UTF-8"))
+
+
+def _length(hex_text):
+    return F.length(hex_text) / 2
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw frame per event: HTTP, SSH, TLS, DNS, ICMP, ARP, and frames cut short.
+
+    Every tenth counter value is VLAN-tagged, and HTTP frames carry three bytes of padding.
+    """
+    eid, user, k, kind = F.col("event_id"), F.col("user_id"), F.col("k"), F.col("event_type")
+    seg = {}
+
+    def tcp(port, payload):
+        flags = (eid * 7 + k) % 64
+        return F.concat(_hex(40000 + eid % 64, 4), _hex(port, 4), _hex(eid, 8), _hex(user, 8), F.lit("50"), _hex(flags, 2),
+                        F.lit("ffff00000000"), payload)
+
+    def udp(port, payload):
+        return F.concat(_hex(40000 + eid % 64, 4), _hex(port, 4), _hex(8 + _length(payload), 4), F.lit("0000"), payload)
+
+    seg["http"] = tcp(80, _text("GET /p/", eid.cast("string"), " HTTP/1.1\r\nHost: h", user.cast("string"),
+                                ".example.com\r\nUser-Agent: ua/", k.cast("string"), "\r\nContent-Length: ", k.cast("string"), "\r\n\r\n"))
+    seg["ssh"] = tcp(22, _text("SSH-2.0-OpenSSH_", k.cast("string"), "\r\n"))
+    sni = _text("s", user.cast("string"), ".example.com")
+    suites = F.array(*[F.lit(i) for i in SUITE_IDS])
+    group = F.when(k % 3 == 0, "6399").otherwise("001d")
+    extensions = F.concat(F.lit("0000"), _hex(_length(sni) + 5, 4), _hex(_length(sni) + 3, 4), F.lit("00"), _hex(_length(sni), 4), sni,
+                          F.lit("000a00060004"), F.lit("001d"), group, F.lit("000b00020100"), F.lit("002b0003020304"))
+    body = F.concat(F.lit("0303" + "00" * 32 + "00" + "0006" + "0a0a"), _hex(F.element_at(suites, (1 + k % len(SUITE_IDS)).cast("int")), 4),
+                    F.lit("1301" + "0100"), _hex(_length(extensions), 4), extensions)
+    seg["tls"] = tcp(443, F.concat(F.lit("160301"), _hex(_length(body) + 4, 4), F.lit("01"), _hex(_length(body), 6), body))
+    label = _text("q", eid.cast("string"))
+    seg["dns"] = udp(53, F.concat(_hex(eid % 65536, 4), F.lit("810000010001" + "00000000"), _hex(_length(label), 2), label,
+                                  F.lit("076578616d706c6503636f6d00" + "00010001"), F.lit("c00c" + "000100010000003c00040a0000"), _hex(user % 250, 2)))
+    seg["icmp"] = F.concat(F.lit("0800f7ff"), _hex(k, 4), _hex(eid % 65536, 4), _text("ping", eid.cast("string")))
+    which = (F.when(kind == "view", "http").when(kind == "click", F.when(k % 2 == 0, "ssh").otherwise("tls"))
+             .when(kind == "purchase", "dns").when(kind == "signup", "icmp").otherwise(F.when(k % 2 == 0, "short").otherwise("arp")))
+    chosen = F.coalesce(*[F.when(F.col("which") == n, c) for n, c in seg.items()])
+    proto = F.when(F.col("which") == "dns", "11").when(F.col("which") == "icmp", "01").otherwise("06")
+    user_ip = F.concat(F.lit("0a0000"), _hex(user % 250, 2))
+    peer_ip = F.concat(F.lit("c0a801"), _hex(k % 16, 2))
+    ip = F.concat(F.lit("4500"), _hex(20 + _length(F.col("seg")), 4), _hex(eid % 65536, 4), F.lit("4000"), _hex(1 + k % 64, 2), proto,
+                  F.lit("0000"), user_ip, peer_ip, F.col("seg"), F.when(F.col("which") == "http", "000000").otherwise(""))
+    arp_body = F.concat(F.lit("0001080006040002"), F.lit("0200000000"), _hex(user % 250, 2), user_ip, F.lit("ffffffffffff"), peer_ip)
+    vlan = F.when(k % 10 == 0, F.concat(F.lit("8100"), _hex(k, 4))).otherwise("")
+    link = F.concat(F.lit("ffffffffffff" + "aabbccdd"), _hex(user % 250, 4), vlan)
+    raw = (F.when(F.col("which") == "short", F.substring(link, 1, 20)).when(F.col("which") == "arp", F.concat(link, F.lit("0806"), arp_body))
+           .otherwise(F.concat(link, F.lit("0800"), ip)))
+    e = pinned(events(spark, sf_dir), which=which)
+    e = pinned(pinned(e, seg=F.coalesce(chosen, F.lit(""))), _raw=F.unhex(raw))
+    return e.select("ts_us", F.concat(F.lit("sensor-"), (eid % 3).cast("string")).alias("node_id"), eid.alias("frame_id"),
+                    F.col("_raw").alias("raw"))
