@@ -199,7 +199,7 @@ query("fn_canonical_flow_key", with_("conv", """select pkt_id, case when (src_ip
  case when (src_ip, src_port) <= (dst_ip, dst_port) then dst_ip else src_ip end as ip_high, case when (src_ip, src_port) <= (dst_ip, dst_port) then dst_port else src_port end as port_high from conv"""))(
     lambda s, d: B.conversations_packets(s, d).select("pkt_id", *[c.alias(n) for n, c in S.conversation().items()]))
 query("fn_private_ip", with_("packets", """p as (select pkt_id, case pkt_id % 4 when 0 then src_ip when 1 then dst_ip when 2 then replace(src_ip, '10.0', '172.' || (pkt_id % 40)) else 'host-' || pkt_id end as ip from packets)
- select_final pkt_id, ip, ip like '10.%' or ip like '192.168.%' or ip like 'host%' or (ip like '172.%' and split_part(ip, '.', 2)::int between 16 and 31) as private from p"""))(
+ select_final pkt_id, ip, ip like '10.%' or ip like '192.168.%' or ip like 'host%' or (ip like '172.%' and try_cast(split_part(ip, '.', 2) as int) between 16 and 31) as private from p"""))(
     lambda s, d: B.packets(s, d).select("pkt_id", F.when(F.col("pkt_id") % 4 == 0, F.col("src_ip")).when(F.col("pkt_id") % 4 == 1, F.col("dst_ip"))
                                         .when(F.col("pkt_id") % 4 == 2, F.replace("src_ip", F.lit("10.0"), F.concat(F.lit("172."), (F.col("pkt_id") % 40).cast("string"))))
                                         .otherwise(F.concat(F.lit("host-"), F.col("pkt_id").cast("string"))).alias("ip"))
@@ -373,12 +373,10 @@ def stix(spark, d):
     return bundle(spark, d).select("kind", "id")
 
 
-query("sink_stix_json", with_("alerts", "select alert_id, concat(category, ': ', description) as name, category, ([10,25,50,75,95])[severity] as confidence from alerts"))(
-    lambda s, d: bundle(s, d).filter("kind = 'indicator'").select(F.from_json(
-        "json", "name string, confidence int, labels array<string>, description string").alias("j")).select(
-        F.col("j.name").alias("name"), F.substring(F.col("j.labels")[1], 10, 30).alias("category"), "j.confidence", F.col("j.description").alias("_d"))
-    .join(B.alerts(s, d).select("alert_id", F.concat_ws(": ", "category", "description").alias("name")), "name").drop("_d")
-    .select("alert_id", "name", "category", "confidence").distinct())
+query("sink_stix_json", with_("alerts", "select concat(category, ': ', description) as name, category, ([10,25,50,75,95])[severity] as confidence, count(*) as n from alerts group by 1, 2, 3"))(
+    lambda s, d: bundle(s, d).filter("kind = 'indicator'").select(F.from_json("json", "name string, confidence int, labels array<string>").alias("j"))
+    .groupBy(F.col("j.name").alias("name"), F.regexp_replace(F.col("j.labels")[1], "^category:", "").alias("category"), F.col("j.confidence").alias("confidence"))
+    .agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("sink_analytics_export")

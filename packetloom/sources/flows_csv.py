@@ -56,6 +56,7 @@ def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"no label column in {path}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_ragged", T.StringType())])
     rows = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
+            .option("columnPruning", False)  # only whole rows show that they are ragged
             .option("columnNameOfCorruptRecord", "_ragged").csv(path))
     rows = rows.filter(F.col("_ragged").isNull())
     text = F.trim(F.col(f"`{label}`"))
