@@ -389,15 +389,8 @@ def cooldown(alerts, keys, seconds: float, order=("ts_us", "seq"), hot_rows=None
     return kept.filter("_keep").drop("_keep", "_island")
 
 
-def ewma_zscore(series, alpha: float = 0.1, warmup: int = 20, against: str = "updated", hot_rows=None, parts=None) -> DataFrame:
-    """Smoothed mean and deviation of (metric, ts_us, value), and the z-score of each value.
-
-    The first ``warmup`` values set the baseline. ``against='prior'`` compares with the
-    baseline before the value was absorbed. The smoothing forgets, so a long series is cut
-    into chunks that start far enough back for the old baseline to have faded out.
-    """
-    fade = math.ceil(math.log(1e-17) / math.log(1 - alpha))
-
+def ewma_step(alpha: float = 0.1, warmup: int = 20, against: str = "updated"):
+    """``step(state, position, value) -> (state, (mean, std, z))``; state None opens a series."""
     def step(state, rn, x):
         n, mean, var, seen = state if state is not None else (rn - 1, None, 0.0, [])
         n += 1
@@ -420,9 +413,20 @@ def ewma_zscore(series, alpha: float = 0.1, warmup: int = 20, against: str = "up
         z = (x - base) / scale if n >= warmup and base is not None and scale >= 1e-10 else None
         return (n, mean, var, seen if n < warmup else []), (shown, math.sqrt(max(var, 0.0)), z)
 
+    return step
+
+
+def ewma_zscore(series, alpha: float = 0.1, warmup: int = 20, against: str = "updated", hot_rows=None, parts=None) -> DataFrame:
+    """Smoothed mean and deviation of (metric, ts_us, value), and the z-score of each value.
+
+    The first ``warmup`` values set the baseline. ``against='prior'`` compares with the
+    baseline before the value was absorbed. The smoothing forgets, so a long series is cut
+    into chunks that start far enough back for the old baseline to have faded out.
+    """
+    fade = math.ceil(math.log(1e-17) / math.log(1 - alpha))
     groups = OrderedGroups(series, ["metric"], ["ts_us"], hot_rows, parts)
     rows = groups.over_last(fade, lambda w: {}, keep_chunks=True)
-    out = fold_rows(rows, ["metric", "_chunk"], ["ts_us"], ["_rn", "value"], lambda: None, step,
+    out = fold_rows(rows, ["metric", "_chunk"], ["ts_us"], ["_rn", "value"], lambda: None, ewma_step(alpha, warmup, against),
                     "mean double, std double, z double")
     return out.filter("_own").drop("_chunk", "_own", "_rn")
 
@@ -547,10 +551,8 @@ def dynamic_pvalue(streaks, confirm: int = 3, size: int = 1000, chunk_rows: int
     return out.withColumn("is_anomaly", (F.col("calibration_size") > 0) & (F.col("p_value") <= epsilon))
 
 
-def token_bucket(requests, keys, rate: float = 10.0, burst: int = 20, order=("ts_us", "seq"), hot_rows=None, parts=None) -> DataFrame:
-    """Allow or deny each request. A pause that refills the bucket starts a fresh group."""
-    order = list(order)
-
+def bucket_step(rate: float = 10.0, burst: int = 20):
+    """``step(state, ts) -> (state, (allowed, tokens))``; the first event leaves burst - 1."""
     def step(state, ts):
         if state is None:
             return (burst - 1.0, ts), (True, burst - 1.0)
@@ -559,9 +561,16 @@ def token_bucket(requests, keys, rate: float = 10.0, burst: int = 20, order=("ts
         tokens -= 1.0 if allowed else 0.0
         return (tokens, ts), (allowed, tokens)
 
+    return step
+
+
+def token_bucket(requests, keys, rate: float = 10.0, burst: int = 20, order=("ts_us", "seq"), hot_rows=None, parts=None) -> DataFrame:
+    """Allow or deny each request. A pause that refills the bucket starts a fresh group."""
+    order = list(order)
+
     refill = math.ceil(burst / rate * SECOND)
     cut = _cut_at_pauses(requests, keys, order, order[0], refill, hot_rows, parts)
-    return fold_rows(cut, [*keys, "_island"], order, [order[0]], lambda: None, step,
+    return fold_rows(cut, [*keys, "_island"], order, [order[0]], lambda: None, bucket_step(rate, burst),
                      "allowed boolean, tokens double").drop("_island")
 
 
