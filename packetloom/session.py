@@ -54,5 +54,7 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     """A small fixed table as plan literals: no Python workers, constant-folded by Catalyst."""
     names = [part.split()[0] for part in schema.split(", ")]
     types = [part.split(maxsplit=1)[1] for part in schema.split(", ")]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in zip(names, types)])
     structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(row, names, types)]) for row in rows]
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
