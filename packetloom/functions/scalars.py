@@ -8,35 +8,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _shannon(symbols: Column) -> Column:
-    """Bits per symbol of an array: sorted, the symbols form runs whose lengths are counted."""
-    size = F.size(symbols)
-    seed = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("acc"))
-
-    def term(run):
-        return F.when(run > 1, run * F.log2(run.cast("double"))).otherwise(0.0)
-
-    def step(state, x):
-        same = x.eqNullSafe(state["last"])
-        return F.struct(
-            x.alias("last"), F.when(same, state["run"] + 1).otherwise(1).alias("run"),
-            (state["acc"] + F.when(same, 0.0).otherwise(term(state["run"]))).alias("acc"))
-
-    # H = log2(n) - sum(c log2 c) / n
-    total = F.aggregate(F.array_sort(symbols), seed, step, lambda s: s["acc"] + term(s["run"]))
-    return F.when(size > 0, F.log2(size.cast("double")) - total / size).otherwise(0.0)
+def distinct_characters(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
 
 
 def entropy_text(text: Column) -> Column:
-    """Shannon entropy in bits per character, 0 for empty or missing text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.coalesce(_shannon(chars), F.lit(0.0))
+    """Shannon entropy in bits per character, 0 for empty or missing text.
+
+    A character's count is how much shorter the text gets without it, which needs one step
+    per distinct character: H = log2(n) - sum(c log2 c) / n.
+    """
+    size = F.length(text)
+
+    def term(ch):
+        c = (size - F.length(F.replace(text, ch, F.lit("")))).cast("double")
+        return c * F.log2(c)
+
+    total = F.aggregate(F.transform(distinct_characters(text), term), F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(size > 0, F.log2(size.cast("double")) - total / size).otherwise(0.0)
 
 
 def entropy_bytes(data: Column) -> Column:
     """Shannon entropy in bits per byte, 0 for empty or missing data."""
-    pairs = F.filter(F.split(F.regexp_replace(F.hex(data), "(..)", "$1,"), ","), lambda c: c != "")
-    return F.coalesce(_shannon(pairs), F.lit(0.0))
+    return entropy_text(F.decode(data, "ISO-8859-1"))  # one character per byte
 
 
 def entropy_of_counts(count: Column, total: Column) -> Column:
@@ -64,7 +58,7 @@ def joint_confidence(p: Column, q: Column) -> Column:
 
 
 def _octet(ip: Column, i: int) -> Column:
-    return F.split(ip, r"\.")[i].try_cast("bigint")
+    return F.get(F.split(ip, r"\."), F.lit(i)).try_cast("bigint")
 
 
 def ip_number(ip: Column) -> Column:

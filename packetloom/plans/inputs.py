@@ -82,7 +82,7 @@ def l7(spark, d):
 @query("src_decode_dns", with_("ev", _FR + """ select_final event_id as frame_id, (event_id % 65536)::int as txid, true as is_response, concat('q', event_id, '.example.com') as question, 'A' as qtype, concat('q', event_id, '.example.com') as answer_name,
  60::bigint as ttl, concat('10.0.0.', user_id % 250) as rdata from fr where w = 'dns'"""))
 def dns(spark, d):
-    q, a = F.col("dns.questions")[0], F.col("dns.answers")[0]
+    q, a = F.get("dns.questions", F.lit(0)), F.get("dns.answers", F.lit(0))
     return l7(spark, d).filter("dns is not null").select("frame_id", "dns.txid", "dns.is_response", q["name"].alias("question"), N.dns_type_name(q["qtype"]).alias("qtype"),
                                                          a["name"].alias("answer_name"), a["ttl"].alias("ttl"), a["rdata"].alias("rdata"))
 

@@ -152,22 +152,22 @@ def http_fields(df: DataFrame, data: str = "payload") -> DataFrame:
         F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, ":") + F.lit(1))).alias("v")))
     # reversed, so that the last of repeated headers wins
     df = pinned(df, _first=F.split(line, " ", 3), _rows=F.reverse(rows))
-    first, enough = F.col("_first"), F.octet_length(payload) >= 4
+    first, enough = F.col("_first"), F.octet_length(payload) >= 4  # a split has at least one part
     request = enough & first[0].isin(*HTTP_METHODS) & (F.size(first) >= 2)
     response = enough & ~request & line.startswith("HTTP/")
     df = pinned(df, _request=F.coalesce(request, F.lit(False)), _response=F.coalesce(response, F.lit(False)))
     request, response = F.col("_request"), F.col("_response")
     names = F.array_distinct(F.transform("_rows", lambda r: r["k"]))
-    headers = F.map_from_arrays(names, F.transform(names, lambda k: F.filter("_rows", lambda r: r["k"] == k)[0]["v"]))
+    headers = F.map_from_arrays(names, F.transform(names, lambda k: F.get(F.filter("_rows", lambda r: r["k"] == k), F.lit(0))["v"]))
 
     def header(name):
-        return F.filter("_rows", lambda r: r["k"] == name)[0]["v"]
+        return F.get(F.filter("_rows", lambda r: r["k"] == name), F.lit(0))["v"]
 
     def either(c):
         return F.when(request | response, c)
 
     return df.withColumns({
-        "is_request": either(request), "method": F.when(request, first[0]), "uri": F.when(request, first[1]),
+        "is_request": either(request), "method": F.when(request, first[0]), "uri": F.when(request, F.get(first, F.lit(1))),
         "version": F.when(request, F.get(first, F.lit(2))).when(response, first[0]),
         "status_code": F.when(response, F.get(first, F.lit(1)).try_cast("int")), "status_text": F.when(response, F.get(first, F.lit(2))),
         "host": either(header("host")), "content_type": either(header("content-type")),
@@ -180,7 +180,7 @@ def ssh_banner(payload: Column) -> dict[str, Column]:
     line = F.regexp_extract(payload.cast("string"), r"^([^\r\n]*)", 1)
     parts = F.split(line, "-", 3)
     good = line.startswith("SSH-") & (F.size(parts) >= 3)
-    return {"ssh_protocol": F.when(good, parts[1]), "ssh_software": F.when(good, parts[2])}
+    return {"ssh_protocol": F.when(good, F.get(parts, F.lit(1))), "ssh_software": F.when(good, F.get(parts, F.lit(2)))}
 
 
 # ---- DNS and TLS ------------------------------------------------------------------------------------
