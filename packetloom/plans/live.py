@@ -7,7 +7,7 @@ from packetloom.operators import models as M
 from packetloom.plans.inputs import scratch
 from packetloom.plans.oracle_base import with_
 from packetloom.plans.registry import query
-from packetloom.plans.sequences import rule_and_ml
+from packetloom.plans.sequences import _MATCH_COLS, _MATCH_D, ARRIVALS_SQL, rule_and_ml
 from packetloom.plans.state import _L, level_scores, node_series
 from packetloom.plans.traffic import _FLOW14_D, _FLOW14_SQL, _WIN_D, _feature_sql
 from packetloom.sources import bindings as B
@@ -61,12 +61,10 @@ def incidents(spark, d):
     return drained(spark, X.stream_incidents(live(spark, a), gap_s=20))
 
 
-@query("stream_correlated", with_("alerts ml", """select source_ip as flow_key, alert_id as rule_seq, ml_id as ml_seq, 1 - (1 - confidence) * (1 - anomaly_score) as joint_confidence
- from alerts join ml on source_ip = flow_key and abs(alerts.ts_us - ml.ts_us) <= 3000000""", "joint_confidence"))
+@query("stream_correlated", with_("alerts ml", ARRIVALS_SQL + f" select_final {_MATCH_COLS} from v where abs(rule_ts_us - ml_ts_us) <= 3000000", _MATCH_D))
 def correlated(spark, d):
     rules, ml = rule_and_ml(spark, d)
-    out = drained(spark, X.stream_correlated(live(spark, rules), live(spark, ml), window_s=3))
-    return out.select("flow_key", "rule_seq", "ml_seq", "joint_confidence")
+    return drained(spark, X.stream_correlated(live(spark, rules), live(spark, ml), window_s=3))
 
 
 @query("stream_threat_levels", with_("scores", _L + " select_final flow_key, ts_us, row_id, from_level, to_level from lx", recursive=True))

@@ -56,20 +56,6 @@ def stream_incidents(alerts: DataFrame, gap_s: int = 60, delay: str = "10 second
     return s.withColumns({"attack_chain": chain, "severity": severity}).drop("session", "worst")
 
 
-def stream_correlated(rules: DataFrame, ml: DataFrame, window_s: int = 30, delay: str = "10 seconds") -> DataFrame:
-    """Rule and model alerts on one flow within the window, by a stream-stream interval join.
-
-    Batch pairs an alert with the latest of the other kind; a join without per-key order emits
-    every pair in the window, from which ``max_by`` downstream picks the latest.
-    """
-    r = timed(rules, delay, name="rule_ts").withColumnsRenamed({"flow_key": "rule_flow", "ts_us": "rule_ts_us", "seq": "rule_seq"})
-    m = timed(ml, delay, name="ml_ts").withColumnsRenamed({"ts_us": "ml_ts_us", "seq": "ml_seq"})
-    width = F.expr(f"interval {window_s} seconds")
-    near = F.col("ml_ts").between(F.col("rule_ts") - width, F.col("rule_ts") + width)
-    j = r.join(m, (F.col("rule_flow") == F.col("flow_key")) & near)
-    return j.withColumn("joint_confidence", S.joint_confidence(F.col("confidence"), F.col("anomaly_score"))).drop("rule_flow", "rule_ts", "ml_ts")
-
-
 def stream_score(features: DataFrame, stats: dict[str, tuple[float, float]], forest: Forest) -> DataFrame:
     """Score closed windows with a fitted model: stateless, one Arrow pass per batch."""
     z = {n: (F.col(n) - F.lit(m)) / F.lit(s) for n, (m, s) in stats.items()}
@@ -114,6 +100,32 @@ def stream_fold(df: DataFrame, keys: list[str], inputs: list[str], step, outputs
     return source.groupBy(*keys).applyInPandasWithState(update, shape, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_correlated(rules: DataFrame, ml: DataFrame, window_s: int = 30, consume: bool = False, **kw) -> DataFrame:
+    """Pair an arriving alert with the latest of the other kind on its flow, as in batch.
+
+    Both streams share one keyed state, the latest alert of each kind; a stream-stream join
+    would instead emit every pair of a busy flow. ``consume`` clears the state on a match.
+    """
+    none = F.lit(None).cast("string")
+    r = rules.select("flow_key", "ts_us", F.lit(0).alias("kind"), "seq", "category", F.col("confidence").cast("double").alias("strength"), none.alias("detector_type"))
+    m = ml.select("flow_key", "ts_us", F.lit(1).alias("kind"), "seq", none.alias("category"), F.col("anomaly_score").cast("double").alias("strength"), "detector_type")
+
+    def step(state, kind, ts, strength, name, detector):
+        latest = [None, None] if state is None else state
+        latest[kind] = [int(ts), float(strength), detector if kind else name]
+        rule, model = latest
+        if not rule or not model or abs(rule[0] - model[0]) > window_s * SECOND:
+            return latest, (None, None, None, None, None, None)
+        return ([None, None] if consume else latest), (rule[0], rule[2], rule[1], model[0], model[1], model[2])
+
+    run = stream_fold(r.unionByName(m), ["flow_key"], ["kind", "ts_us", "strength", "category", "detector_type"], step,
+                      "rule_ts_us bigint, rule_category string, rule_confidence double, ml_ts_us bigint, ml_score double, ml_detector string",
+                      order=("ts_us", "kind", "seq"), **kw)
+    hits = run.filter("rule_ts_us is not null and ml_ts_us is not null")
+    return hits.select("flow_key", "ts_us", "kind", "seq", "rule_ts_us", F.col("rule_category").alias("category"), "rule_confidence", "ml_ts_us", "ml_score",
+                       F.col("ml_detector").alias("detector_type"), S.joint_confidence(F.col("rule_confidence"), F.col("ml_score")).alias("joint_confidence"))
+
+
 def _automaton_step(table, start: int = 0):
     rows = [list(map(int, r)) for r in table]
 
