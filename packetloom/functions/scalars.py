@@ -145,7 +145,8 @@ def stix_id(kind: str, *seeds: Column, uuid_shape: bool = False) -> Column:
 
 
 def stix_timestamp(ts_us: Column) -> Column:
-    return F.date_format(F.timestamp_micros(ts_us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")  # UTC whatever the session time zone
+    return F.date_format(F.timestamp_add("MICROSECOND", ts_us, epoch), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def stix_pattern(category: Column, source_ip: Column, dest_ip: Column, dest_port: Column, evidence: Column) -> Column:

@@ -33,8 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the counter ``k`` of props, microseconds ``us`` and squeezed ``ts_us``."""
-    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
-    return table(spark, sf_dir, "events").select(
+    # from the parts of the zone-free timestamp, so the session time zone plays no role
+    us = F.expr("((unix_date(cast(t as date)) * 24L + hour(t)) * 60L + minute(t)) * 60000000L"
+                " + cast(extract(second from t) * 1000000 as bigint)")
+    return table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp_ntz")).select(
         "event_id", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"), us.alias("us"),
     ).withColumn("ts_us", (EPOCH_US + F.floor((F.col("us") - EPOCH_US) / SQUEEZE)).cast("bigint"))
