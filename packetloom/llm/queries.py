@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.llm import mixing, quality
+from packetloom.llm import mixing, packing, quality
 from packetloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
+#: The tokenizer of the packing query; a parameter of the operator.
+VOCABULARY = "word_bpe_49k.json"
 SQL_WORD = r"[^\x20\x09-\x0D]+"
 
 SQL_OP3 = rf"""
@@ -60,3 +62,12 @@ def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_pack_best_fit")
+def op10(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
