@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.llm import mixing, packing, quality
+from packetloom.llm import jaccard, mixing, packing, quality
 from packetloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: The tokenizer of the packing query; a parameter of the operator.
@@ -71,3 +71,8 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY)).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op5_jaccard_join")
+def op5(spark, sf_dir):
+    return jaccard.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
