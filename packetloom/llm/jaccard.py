@@ -223,10 +223,10 @@ def cross_pairs(pct: int) -> Callable:
         values, names, counts = np.unique(c["root"], return_inverse=True, return_counts=True)
         if len(values) < 2:
             return np.zeros((2, 0), np.int64)
-        seen, found = np.zeros(len(names), bool), []
+        seen, found, largest = np.zeros(len(names), bool), [], counts.argmax()
         for k in np.argsort(counts[names], kind="stable"):  # small components first, the largest is only ever compared with
-            if names[k] == counts.argmax():
-                break
+            if names[k] == largest:
+                continue
             seen[k] = True
             other = (names != names[k]) & ~seen
             at = np.flatnonzero(other & compatible(c["n"], c["pos"], c["n"][k], c["pos"][k], pct))
