@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.llm import jaccard, mixing, packing, quality
+from packetloom.llm import jaccard, mixing, packing, quality, secrets
 from packetloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: The tokenizer of the packing query; a parameter of the operator.
@@ -76,3 +76,9 @@ def op10(spark, sf_dir):
 @query("op5_jaccard_join")
 def op5(spark, sf_dir):
     return jaccard.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_secret_scan")
+def op1(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
