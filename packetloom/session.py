@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -46,7 +47,12 @@ def durable(df: DataFrame) -> DataFrame:
     so that an executor lost later cannot change what two branches of a plan see."""
     spark = df.sparkSession
     path = f"{durable_dir(spark).rstrip('/')}/packetloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # nothing reads the shuffles of ``df`` again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
