@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.llm import jaccard, mixing, packing, pii, quality, secrets
+from packetloom.llm import jaccard, mixing, packing, pii, quality, secrets, toxicity
 from packetloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: The tokenizer of the packing query; a parameter of the operator.
@@ -88,3 +88,8 @@ def op1(spark, sf_dir):
 def op6(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_context")
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
