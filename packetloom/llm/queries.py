@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.llm import jaccard, mixing, packing, pii, quality, secrets, toxicity
+from packetloom.llm import egrid, jaccard, mixing, packing, pii, quality, secrets, toxicity
 from packetloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: The tokenizer of the packing query; a parameter of the operator.
@@ -93,3 +93,8 @@ def op6(spark, sf_dir):
 @query("op7_toxicity")
 def op7(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_embedding_grid_join")
+def op9(spark, sf_dir):
+    return egrid.near_vectors(table(spark, sf_dir, "embeddings"))

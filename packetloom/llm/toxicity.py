@@ -186,7 +186,7 @@ def fit_label_model(model: LabelModel, patterns: DataFrame, j: int, rounds: int
         model.update(np.sum([r.sums for r in rows], axis=0))
 
 
-def fit_linear(row: np.ndarray, slot: np.ndarray, target: np.ndarray, width: int, ridge: float = 5e-5, steps: int = 500) -> np.ndarray:
+def fit_linear(row: np.ndarray, slot: np.ndarray, target: np.ndarray, width: int, ridge: float = 2e-4, steps: int = 500) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient steps; the last weight is the constant."""
     n = len(target)
     x = np.zeros((n, width + 1), np.float32)
