@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.llm import egrid, jaccard, mixing, packing, pii, quality, secrets, toxicity
+from packetloom.llm import chat, egrid, jaccard, licenses, mixing, packing, pii, quality, secrets, toxicity
 from packetloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: The tokenizer of the packing query; a parameter of the operator.
@@ -98,3 +98,30 @@ def op7(spark, sf_dir):
 @query("op9_embedding_grid_join")
 def op9(spark, sf_dir):
     return egrid.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL_OP2 = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, k, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) as v(k, r)),
+e as (select *, length(text) + 3 * length(text) - length(replace(text, '<', '')) - length(replace(text, '[', '')) - length(replace(text, '\', '')) as shown,
+             length(role) + 3 * length(role) - length(replace(role, '<', '')) - length(replace(role, '[', '')) - length(replace(role, '\', ''))
+             + 3 * (length(role) - length(replace(role, chr(10), ''))) as shown_role from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       (3 + sum(8 + shown_role + 1 + shown + 4))::bigint as formatted_chars
+from e group by conv_id"""
+
+
+@query("op2_chat_format", SQL_OP2)
+def op2(spark, sf_dir):
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_back(chat.format_conversations(turns)).drop("n_unstable")
+
+
+@query("op8_license_scan")
+def op8(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
