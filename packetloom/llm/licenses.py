@@ -38,6 +38,8 @@ TRIGGER = r"(?i:licen[sc]e|permission is hereby|redistribution and use|public do
 _TRIGGER = re.compile(TRIGGER)
 _WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
 _WHOLE: dict[str, list] = {}
+#: Levels from here on search every position of a short dictionary.
+LEVEL = 15
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
@@ -50,11 +52,11 @@ def packers() -> list:
         import zstandard
 
         def primed(wording: str):
-            known = zstandard.ZstdCompressionDict(("\n" + wording.lower()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            return zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False)
+            known = zstandard.ZstdCompressionDict(("\n" + wording.lower()).encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False)
 
         _WHOLE["all"] = [(name, w, [x for x, _, _ in words(w)], primed(w)) for name, texts in sorted(TEMPLATES.items()) for w in texts]
-        _WHOLE["plain"] = [zstandard.ZstdCompressor(level=3, write_content_size=False)]
+        _WHOLE["plain"] = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)]
     return _WHOLE["all"]
 
 

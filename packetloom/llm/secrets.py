@@ -58,7 +58,7 @@ def marginal_bytes(candidate: bytes, context: bytes) -> int:
     import zstandard
 
     known = zstandard.ZstdCompressionDict(IDENTIFIERS + context, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    pack = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False).compress
+    pack = zstandard.ZstdCompressor(level=15, dict_data=known, write_content_size=False).compress
     return len(pack(candidate)) - len(pack(b""))
 
 
