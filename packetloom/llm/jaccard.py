@@ -25,7 +25,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,7 +86,7 @@ def fingerprints(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def common_buckets(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     """A bit for each bucket of shingles that holds many more documents' shingles than the mean bucket.
 
-    Counted over all documents; only the order of tokens depends on it, not the result. Bounded: 2**22 bits.
+    Counted over all documents (a task's count of a bucket stops at 255); only the order of tokens depends on it, not the result. Bounded: 2**22 bits.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +96,7 @@ def common_buckets(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
                 sets, _ = shingle_sets(batch.column(0)[lo:hi], size)
                 np.add.at(total, (sets >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
         if total.any():
-            blocks = total.reshape(-1, BLOCK)
+            blocks = np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "counts"])
 
@@ -104,7 +105,7 @@ def common_buckets(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = sums.setdefault(block, np.zeros(BLOCK, np.int64))
-                own += np.frombuffer(counts.as_buffer(), np.uint32)
+                own += np.frombuffer(counts.as_buffer(), np.uint8)
         bits = []
         for own in sums.values():
             mean = own.mean()
@@ -121,12 +122,24 @@ def common_buckets(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
 
 def needed(n, pct: int):
     """The least overlap of a set of ``n`` with any similar set."""
-    return (pct * n + 99) // 100
+    return _div(pct * n + 99, 100)
 
 
-def compatible(n1, p1, n2, p2, pct: int):
-    """Whether sets of these sizes may be similar if their first common token is at these positions."""
+def _div(a, b: int):
+    return F.floor(a / b) if isinstance(a, Column) else a // b
+
+
+def shared(n, pct: int):
+    """How many tokens the prefix of a set of ``n`` shares at least with that of any similar, not smaller set."""
+    return 1 + _div(needed(n, pct), 16)
+
+
+def compatible(n1, p1, n2, p2, pct: int, among_first: bool = False):
+    """Whether sets of these sizes may be similar if their first common token is at these positions; ``among_first``:
+    if it is one of the common tokens that their prefixes share at least."""
     least = (pct * (n1 + n2) + 99 + pct) // (100 + pct)
+    if among_first:
+        least = least - shared(np.minimum(n1, n2), pct) + 1
     fits = (100 * np.minimum(n1, n2) >= pct * np.maximum(n1, n2))
     return fits & (np.minimum(n1 - p1, n2 - p2) >= least)
 
@@ -144,7 +157,7 @@ def indexed(docs: DataFrame, id_col: str, text_col: str, size: int, pct: int, co
                 tokens = ordered(sets, offsets, common)
                 n = np.diff(offsets)
                 fp = fingerprints(tokens, offsets).view(np.int64)
-                keep = np.where(n > 0, n - needed(n, pct) + 1, 0)
+                keep = np.where(n > 0, n - needed(n, pct) + shared(n, pct), 0)
                 inside = np.arange(len(tokens)) - np.repeat(offsets[:-1], n) < np.repeat(keep, n)
                 prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)].astype(np.int32)), pa.array(tokens[inside].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n), pa.array(fp[0]), pa.array(fp[1]), prefix], names=schema.names)
@@ -173,7 +186,7 @@ def runs(batches: Iterator[pa.RecordBatch], several: str) -> Iterator[tuple[bool
 
 def leader_pairs(pct: int) -> Callable:
     """Each entry of a list with the first leader that it may be similar to; an entry without one becomes a leader
-    (and a pair with itself, if others came before it).
+    and a pair with itself. So a set is in at least as many pairs as there are lists in which something goes with it.
 
     Lists arrive by position, so leaders are the sets with the fewest rare tokens. A list is read in pieces and
     only its leaders are kept."""
@@ -194,16 +207,15 @@ def leader_pairs(pct: int) -> Callable:
             sid, n, pos = c["sid"], c["n"], c["pos"]
             rest = np.arange(len(sid))
             for leader, ln, lp in leaders:
-                fits = compatible(n[rest], pos[rest], ln, lp, pct)
+                fits = compatible(n[rest], pos[rest], ln, lp, pct, True)
                 out.append(np.stack([sid[rest[fits]], np.full(int(fits.sum()), leader)]))
                 rest = rest[~fits]
             while len(rest):
                 k = rest[0]
-                if leaders:  # it may still go with a follower of another
-                    out.append(np.full((2, 1), sid[k]))
-                leaders.append((int(sid[k]), int(n[k]), int(pos[k])))
                 rest = rest[1:]
-                fits = compatible(n[rest], pos[rest], n[k], pos[k], pct)
+                fits = compatible(n[rest], pos[rest], n[k], pos[k], pct, True)
+                out.append(np.full((2, 1), sid[k]))
+                leaders.append((int(sid[k]), int(n[k]), int(pos[k])))
                 out.append(np.stack([sid[rest[fits]], np.full(int(fits.sum()), sid[k])]))
                 rest = rest[~fits]
             held += len(sid)
@@ -315,14 +327,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     entries = classes.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("pos").cast("long"), "n", "sid")
     entries = entries.repartition("token").sortWithinPartitions("token", "pos", "n", "sid")
     votes = durable(entries.mapInArrow(leader_pairs(pct), "x long, y long").groupBy("x", "y").agg(F.count("*").alias("votes")))
-    touched = votes.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
-    involved = durable(classes.join(touched, "sid", "left_semi").select("sid", "fp1", "fp2", "rep", "n", "prefix"))
+    least = needed(F.col("n"), pct).cast("long")  # the smallest set that is similar to one of n
+    enough = F.col("lists") >= shared(least, pct).cast("long")
+    touched = votes.groupBy(F.col("x").alias("sid")).agg(F.sum("votes").alias("lists"))
+    involved = durable(classes.join(touched, "sid").filter(enough).select("sid", "fp1", "fp2", "rep", "n", "prefix"))
 
     sets = read_sets(docs, id_col, text_col, size, common, wanted_bits(involved))
     names = involved.select("sid", "fp1", "fp2", "rep")
     sets = durable(sets.join(names, ["fp1", "fp2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "tokens"))
 
-    best = votes.filter("x <> y").groupBy("x").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
+    inside = involved.select("sid")
+    pairs = votes.filter("x <> y").join(inside.withColumnRenamed("sid", "x"), "x", "left_semi").join(inside.withColumnRenamed("sid", "y"), "y", "left_semi")
+    best = pairs.groupBy("x").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
     first = durable(verified(best, sets, pct))
     links = first.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
@@ -345,3 +361,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     full = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
     return full.unionByName(rows.filter("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id. Rows that share an id and a text are one. A row
+    without an id cannot be named as the one that stays, nor as a copy: it stays."""
+    found = similar_documents(docs, id_col, text_col, **options)
+    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
+    named = docs.join(stay, F.col(id_col) == F.col("_stay"), "left_semi")
+    twin = W.partitionBy(id_col, F.md5(F.coalesce(F.col(text_col), F.lit("")))).orderBy(F.lit(0))
+    named = named.withColumn("_twin", F.row_number().over(twin)).filter("_twin = 1").drop("_twin")
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
