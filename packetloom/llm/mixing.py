@@ -141,3 +141,13 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     totals = placed.groupBy("skey").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     empty = placed.filter("size = 0").select("skey", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return taken.select("skey", "doc_id", "size", "taken").unionByName(empty).join(totals, "skey").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, in whole documents: the words taken over its size, rounded.
+    Rows that share an id get the largest number among them; empty texts, of which there is nothing to take, stay once."""
+    taken = taken_words(docs, id_col=id_col, **options)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies")).filter("_copies > 0")
+    found = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return found.select(*[F.col(c) for c in docs.columns])

@@ -207,16 +207,8 @@ def fit_linear(row: np.ndarray, slot: np.ndarray, target: np.ndarray, width: int
     return w.astype(np.float64)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, vocabulary: int = 1024,
-             voters: int = 48, threshold: float = 0.3) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document. At most ``sample_rows`` labelled rows are fitted on."""
-    label, row, bucket = sample_features(labelled_sample(docs, labels, id_col, text_col, sample_rows))
-    chosen = induce(label, row, bucket, vocabulary) if len(set(label.tolist())) == 2 else np.zeros(0, np.int64)
-    slots = np.full(BUCKETS, -1, np.int32)
-    slots[chosen] = np.arange(len(chosen))
-    lexicon = min(voters, len(chosen))
-    j = lexicon + 2
-
+def lexicon_votes(docs: DataFrame, slots: np.ndarray, lexicon: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, votes, hits`` of every document: the voters that fire as bits, and the slots of its features."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("votes", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType(), False))])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,31 +221,70 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 np.bitwise_or.at(votes, doc[fired], np.int64(1) << slot[fired])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(votes), lists(doc, slot, hi - lo)], names=schema.names)
 
-    voted = durable(docs.select(id_col, text_col).mapInArrow(vote, schema))
-    weights = np.zeros(1)
-    if len(chosen):
-        slot = slots[bucket]
-        row, slot = row[slot >= 0], slot[slot >= 0]
-        fired = np.zeros((len(label), j))
-        fired[row[slot < lexicon], slot[slot < lexicon]] = 1
-        rate = lambda y: (fired[label == y].sum(0) + 0.1) / ((label == y).sum() + 1)
-        model = LabelModel(rate(1), rate(0), float((label == 1).mean()))
-        fit_label_model(model, durable(voted.groupBy("votes").agg(F.count("*").alias("n"))), j)
-        post = np.clip(model.posterior(fired), 1e-6, 1 - 1e-6)
-        # the annotation is one more voter, right in 98 of 100 cases
-        target = 1 / (1 + np.exp(-(np.log(post / (1 - post)) + np.where(label == 1, 1, -1) * np.log(49))))
-        weights = fit_linear(row, slot, target, len(chosen))
-
-    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    return docs.select(id_col, text_col).mapInArrow(vote, schema)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, vocabulary: int = 1024,
+           voters: int = 48) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """The slots and weights of the classifier, and the votes of all documents, which the label model was estimated on.
+    At most ``sample_rows`` labelled rows are fitted on."""
+    label, row, bucket = sample_features(labelled_sample(docs, labels, id_col, text_col, sample_rows))
+    chosen = induce(label, row, bucket, vocabulary) if len(set(label.tolist())) == 2 else np.zeros(0, np.int64)
+    slots = np.full(BUCKETS, -1, np.int32)
+    slots[chosen] = np.arange(len(chosen))
+    lexicon = min(voters, len(chosen))
+    j = lexicon + 2
+    voted = durable(lexicon_votes(docs, slots, lexicon, id_col, text_col))
+    if not len(chosen):
+        return slots, np.zeros(1), voted
+    slot = slots[bucket]
+    row, slot = row[slot >= 0], slot[slot >= 0]
+    fired = np.zeros((len(label), j))
+    fired[row[slot < lexicon], slot[slot < lexicon]] = 1
+    rate = lambda y: (fired[label == y].sum(0) + 0.1) / ((label == y).sum() + 1)
+    model = LabelModel(rate(1), rate(0), float((label == 1).mean()))
+    fit_label_model(model, durable(voted.groupBy("votes").agg(F.count("*").alias("n"))), j)
+    post = np.clip(model.posterior(fired), 1e-6, 1 - 1e-6)
+    # the annotation is one more voter, right in 98 of 100 cases
+    target = 1 / (1 + np.exp(-(np.log(post / (1 - post)) + np.where(label == 1, 1, -1) * np.log(49))))
+    return slots, fit_linear(row, slot, target, len(chosen)), voted
+
+
+def scores(ends: np.ndarray, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of texts whose slots are ``found[ends[i]:ends[i + 1]]``."""
+    values = np.r_[0.0, np.cumsum(weights[found])]
+    z = values[ends[1:]] - values[ends[:-1]] + weights[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50))) if len(weights) > 1 else np.zeros(len(z))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document."""
+    _, weights, voted = fitted(docs, labels, id_col, text_col, **fit)
+    out = T.StructType([voted.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(1)
-            offsets = found.offsets.to_numpy()
-            values = np.r_[0.0, np.cumsum(weights[found.values.to_numpy()[: offsets[-1]]])]
-            z = values[offsets[1:]] - values[offsets[:-1]] + weights[-1]
-            p = 1 / (1 + np.exp(-np.clip(z, -50, 50))) if len(weights) > 1 else np.zeros(len(z))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
+            ends = found.offsets.to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(ends - ends[0], found.flatten().to_numpy(), weights))], names=out.names)
 
     scored = voted.select("doc_id", "hits").mapInArrow(score, out)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; texts are scored where they are, no row moves."""
+    slots, weights, _ = fitted(docs, labels, id_col, text_col, **fit)
+
+    @F.pandas_udf("double")
+    def score(texts):
+        import pandas as pd
+
+        column = pc.fill_null(pa.array(texts, pa.string(), from_pandas=True), "")
+        parts = [np.zeros(0)]
+        for lo, hi in chunks(column):
+            doc, slot = hits(column[lo:hi], slots)
+            parts.append(scores(np.searchsorted(doc, np.arange(hi - lo + 1)), slot, weights))
+        return pd.Series(np.concatenate(parts), index=texts.index)
+
+    return docs.filter(score(F.col(text_col)) < threshold)
