@@ -75,9 +75,10 @@ def novel_spans(text: str, taken: list[Span], reach: int = 40, window: int = 400
             mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
             if not mixed or a in found or any(s < b and a < e for s, _, e in taken):
                 continue
-            around = (text[max(0, a - window) : a] + " " + text[b : b + window]).lower().encode()
+            # a secret said twice is still one: its own repeats do not count as surroundings
+            around = (text[max(0, a - window) : a] + " " + text[b : b + window]).replace(value, " ")
             words = plain_words(value)
-            if marginal_bytes(words, around) >= least * len(words):
+            if marginal_bytes(words, plain_words(around)) >= least * len(words):
                 found[a] = (a, 3, b)
     return list(found.values())
 
