@@ -40,11 +40,12 @@ def entropy_of_counts(count: Column, total: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
+    """One decimal; exact halves go to the even digit."""
     units = ["B", "KB", "MB", "GB", "TB"]
-    out = F.format_string("%.1f PB", n.cast("double") / 1024.0**5)
+    out = F.format_string("%.1f PB", F.bround(n.cast("double") / 1024.0**5, 1))
     for i in range(len(units) - 1, -1, -1):
         scaled = n.cast("double") / 1024.0**i
-        out = F.when(F.abs(scaled) < 1024, F.format_string(f"%.1f {units[i]}", scaled)).otherwise(out)
+        out = F.when(F.abs(scaled) < 1024, F.format_string(f"%.1f {units[i]}", F.bround(scaled, 1))).otherwise(out)
     return out
 
 

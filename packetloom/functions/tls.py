@@ -91,12 +91,12 @@ def tls_grade(suite: Column, version: Column, groups: Column | None = None) -> d
     grade = reduce(lambda acc, g: acc.when(points >= g[0], g[1]),
                    [(8, "A"), (6, "B"), (4, "C"), (2, "D")], F.when(points >= 10, "A+")).otherwise("F")
     advice = F.array_compact(F.array(
-        F.when(version_risk == "LEGACY", "Upgrade to TLS 1.3")
+        F.when(version_risk == "LEGACY", "Offer TLS 1.3")
         .when(version_risk != "CURRENT", "Retire the deprecated TLS version"),
         F.when(strength == "MODERATE", F.concat(F.lit("Move from "), cipher, F.lit(" to an AEAD cipher")))
         .when(strength != "STRONG", F.concat(F.lit("Replace "), cipher)),
-        F.when(~forward, "Enable forward secrecy (ECDHE/DHE)"),
-        F.when(~safe, "Enable PQ hybrid key exchange")))
+        F.when(~forward, "Prefer ephemeral key exchange"),
+        F.when(~safe, "Add a hybrid post-quantum group")))
     return {
         "suite_name": name, "kex": kex, "kex_bits": kex_bits, "forward_secrecy": forward,
         "cipher": cipher, "cipher_strength": strength, "cipher_bits": bits, "cipher_mode": mode,

@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import scalars as S
@@ -178,8 +178,7 @@ def tcp_connections(packets, idle_us: int = 300 * SECOND, hot_rows=None, parts=N
         F.sum("size").alias("_all"),
         F.max_by("sni", F.when(F.col("sni").isNotNull(), last)).alias("sni"),
         F.max_by("ja3", F.when(F.col("ja3").isNotNull(), last)).alias("ja3"))
-    newest = c.groupBy(*keys).agg(F.max("connection").alias("_newest"))
-    c = c.join(newest, keys)
+    c = c.withColumn("_newest", F.max("connection").over(Window.partitionBy(*keys)))
     names = F.array(*[F.lit(n) for n in CONNECTION_STATES])
     state = F.element_at(names, F.col("_state") + 1)
     left_open = (F.col("connection") < F.col("_newest")) & ~F.col("_state").isin(_CLOSED, _RESET)
@@ -274,11 +273,11 @@ def threat_level_summary(levels: DataFrame) -> DataFrame:
 
 # fixed values: attack chains in matching order
 CHAINS = [
-    ("recon_to_exploit", ["PORT_SCAN", "BRUTE_FORCE"], "Reconnaissance followed by credential attack"),
-    ("scan_flood_tunnel", ["PORT_SCAN", "SYN_FLOOD", "DNS_TUNNEL"], "Full kill chain: recon -> DoS -> C2 tunnel"),
-    ("recon_to_c2", ["PORT_SCAN", "DNS_TUNNEL"], "Reconnaissance followed by C2 channel establishment"),
-    ("brute_to_exfil", ["BRUTE_FORCE", "DNS_EXFIL"], "Credential attack followed by data exfiltration"),
-    ("flood_tunnel", ["SYN_FLOOD", "ICMP_TUNNEL"], "DoS distraction followed by covert channel"),
+    ("recon_to_exploit", ["PORT_SCAN", "BRUTE_FORCE"], "Ports were probed, then passwords tried"),
+    ("scan_flood_tunnel", ["PORT_SCAN", "SYN_FLOOD", "DNS_TUNNEL"], "Probing, a flood and a DNS tunnel in turn"),
+    ("recon_to_c2", ["PORT_SCAN", "DNS_TUNNEL"], "Ports were probed, then a DNS tunnel opened"),
+    ("brute_to_exfil", ["BRUTE_FORCE", "DNS_EXFIL"], "Passwords were tried, then data left through DNS"),
+    ("flood_tunnel", ["SYN_FLOOD", "ICMP_TUNNEL"], "A flood covers an ICMP tunnel"),
 ]
 
 

@@ -157,13 +157,17 @@ def _grow(x: np.ndarray, rng, height: int, extension: int | None):
 
 def training_pool(df: DataFrame, row_id: str, size: int, seed: int) -> DataFrame:
     """A uniform sample of exactly ``min(size, rows)`` rows: those with the smallest hashes.
-    The sample depends on ids and seed only, never on partitioning. A hash threshold leaves
-    about twice ``size`` rows for the final ordering, however many partitions there are."""
-    rows = df.count()
+    The sample depends on ids and seed only, never on partitioning. A hash threshold leaves a few
+    times ``size`` rows for the final ordering, however many partitions there are; it is raised until
+    enough rows pass, so the result is that of ordering all rows."""
     hashed = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed)))
-    if rows > 4 * size:
-        cut = int(2.0 * size / rows * 2**64) - 2**63
-        hashed = hashed.filter(F.col("_h") < cut)
+    rows, share = df.count(), 2.0
+    while rows and share * size < rows:
+        below = hashed.filter(F.col("_h") < int(share * size / rows * 2**64) - 2**63)
+        if below.count() >= size:
+            hashed = below
+            break
+        share *= 2
     return hashed.orderBy("_h", row_id).limit(size).drop("_h")
 
 

@@ -148,12 +148,28 @@ def recent_log(df, n: int, ts="ts_us", seq="seq") -> DataFrame:
 
 
 def verify_audit_chain(log, genesis: str, hot_rows=None, parts=None) -> DataFrame:
-    """Recompute every link from the stored hash before it; all links check in parallel."""
+    """Recompute every link and seal from the stored hash before it; all check in parallel.
+
+    One row per segment. ``gaps`` counts rows and segments that do not follow their predecessor; ``complete`` says
+    whether the log ends with a closing row that has its numbers of segments and rows."""
+    start = F.sha2(F.lit(genesis), 256)
+    per = log.groupBy("log_id", "segment").agg(F.max("seq").alias("_last"), F.max_by("hash", "seq").alias("_seal"), F.max_by("payload", "seq").alias("_text"),
+                                               F.count(F.lit(1)).alias("_n"))
+    by_log = Window.partitionBy("log_id")
+    before = by_log.orderBy("segment")
+    closing = F.col("segment") == F.max("segment").over(by_log)
+    per = per.withColumns({"_seal_before": F.coalesce(F.lag("_seal").over(before), start), "_follows": F.col("segment") == F.coalesce(F.lag("segment").over(before) + 1, F.lit(0)),
+                           "_closing": closing, "_segments": F.count(F.lit(1)).over(by_log) - 1, "_rows": F.sum(F.when(closing, 0).otherwise(F.col("_n") - 1)).over(by_log)})
+    total = F.concat_ws("|", F.lit("LOG_CLOSED"), F.col("_segments").cast("string"), F.col("_rows").cast("string"))
+    per = per.withColumn("complete", F.max(F.col("_closing") & (F.col("_text") == total)).over(by_log)).drop("_text", "_n", "_segments", "_rows", "_seal")
     groups = OrderedGroups(log, ["log_id", "segment"], ["seq"], hot_rows, parts)
-    linked = groups.previous(_prev=F.col("hash"), _seq=F.col("seq")).df
-    before = F.coalesce("_prev", F.sha2(F.lit(genesis), 256))
-    good = F.col("hash") == F.sha2(F.concat(before, F.col("payload")), 256)
-    dense = F.col("seq") == F.coalesce(F.col("_seq") + 1, F.lit(1))
+    linked = groups.previous(_prev=F.col("hash"), _seq=F.col("seq")).df.join(per, ["log_id", "segment"])
+    tail = F.coalesce("_prev", start)
+    text = (F.when(F.col("_closing"), F.concat("_seal_before", "payload")).when(F.col("seq") == F.col("_last"), F.concat("_seal_before", tail, "payload"))
+            .otherwise(F.concat(tail, "payload")))
+    good = F.col("hash") == F.sha2(text, 256)
+    dense = (F.col("seq") == F.coalesce(F.col("_seq") + 1, F.lit(1))) & (F.col("_follows") | (F.col("seq") > 1))
     return linked.groupBy("log_id", "segment").agg(
         F.count(F.lit(1)).alias("links"), F.sum((~good).cast("int")).alias("broken_links"),
-        F.sum((~dense).cast("int")).alias("gaps"), F.bool_and(good & dense).alias("intact"))
+        F.sum((~dense).cast("int")).alias("gaps"), F.first("complete").alias("complete"),
+        (F.bool_and(good & dense) & F.first("complete")).alias("intact"))

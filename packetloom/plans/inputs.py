@@ -149,11 +149,11 @@ def entropy_bytes(spark, d):
     return B.icmp(spark, d).select("icmp_id", S.entropy_bytes(F.col("payload")).alias("entropy"))
 
 
-query("fn_format_bytes", with_("packets", """v as (select pkt_id, size * (10 ** (pkt_id % 14))::bigint + 1 as n from packets)
+query("fn_format_bytes", with_("packets", """v as (select pkt_id, size * case when pkt_id % 2 = 0 then 64 else (10 ** (pkt_id % 14))::bigint end + pkt_id % 2 as n from packets)
  select_final pkt_id, case when n < 1024 then printf('%.1f B', n::double) when n < 1024^2 then printf('%.1f KB', n / 1024.0e0) when n < 1024^3 then printf('%.1f MB', n / 1024.0e0^2) when n < 1024^4 then printf('%.1f GB', n / 1024.0e0^3)
-  when n < 1024^5 then printf('%.1f TB', n / 1024.0e0^4) else printf('%.1f PB', n / 1024.0e0^5) end as text from v where n % 8 <> 0"""))(
-    lambda s, d: B.packets(s, d).select("pkt_id", (F.col("size") * F.pow(F.lit(10), F.col("pkt_id") % 14).cast("bigint") + 1).alias("n"))
-    .filter("n % 8 <> 0").select("pkt_id", S.format_bytes(F.col("n")).alias("text")))
+  when n < 1024^5 then printf('%.1f TB', n / 1024.0e0^4) else printf('%.1f PB', n / 1024.0e0^5) end as text from v"""))(
+    lambda s, d: B.packets(s, d).select("pkt_id", (F.col("size") * F.when(F.col("pkt_id") % 2 == 0, F.lit(64).cast("bigint")).otherwise(F.pow(F.lit(10), F.col("pkt_id") % 14).cast("bigint")) + F.col("pkt_id") % 2).alias("n"))
+    .select("pkt_id", S.format_bytes(F.col("n")).alias("text")))
 query("fn_sigmoid_joint", with_("scores", "select row_id, 1 / (1 + exp(-(score * 20 - 5))) as s, 1 - (1 - score) * (1 - score / 2) as j from scores", "s j"))(
     lambda s, d: B.scores(s, d).select("row_id", S.sigmoid(F.col("score") * 20 - 5).alias("s"), S.joint_confidence(F.col("score"), F.col("score") / 2).alias("j")))
 query("fn_score_severity", with_("scores", """select row_id, case when score >= 0.75 then 5 when score >= 0.65 then 4 when score >= 0.55 then 3 else 2 end as severity,

@@ -8,7 +8,7 @@ from packetloom.plans.inputs import scratch
 from packetloom.plans.oracle_base import with_
 from packetloom.plans.registry import query
 from packetloom.plans.sequences import _MATCH_COLS, _MATCH_D, ARRIVALS_SQL, rule_and_ml
-from packetloom.plans.state import _L, level_scores, node_series
+from packetloom.plans.state import _BUCKET, _L, _SERIES, _Z, level_scores, node_series
 from packetloom.plans.traffic import _FLOW14_D, _FLOW14_SQL, _WIN_D, _feature_sql
 from packetloom.sources import bindings as B
 from packetloom.streaming import streams as X
@@ -77,7 +77,8 @@ def tcp(spark, d):
     return drained(spark, X.stream_tcp_states(live(spark, B.conversations_packets(spark, d)))).groupBy("state").agg(F.count(F.lit(1)).alias("packets"))
 
 
-@query("stream_ewma")
+@query("stream_ewma", with_("packets", _SERIES + f""" select_final metric, ts_us, value, m as mean, sqrt(v) as std, {_Z.format(m='m', v='v')} as z from r
+ union all select metric, ts_us, value, value, 0, null from mn where rn < 20""", "value mean std z", recursive=True))
 def ewma(spark, d):
     return drained(spark, X.stream_ewma(live(spark, node_series(spark, d))))
 
@@ -89,7 +90,7 @@ def replays(spark, d):
     return drained(spark, X.stream_flag_replays(live(spark, B.envelopes(spark, d)))).select("sender_id", "ts_us", "seq", "verdict")
 
 
-@query("stream_token_bucket")
+@query("stream_token_bucket", with_("env", _BUCKET + " select_final allowed, count(*) as n from b1 group by 1", recursive=True))
 def bucket(spark, d):
     r = B.envelopes(spark, d).select("sender_id", F.col("recv_ts_us").alias("ts_us"), F.col("env_id").alias("seq"))
     return drained(spark, X.stream_token_bucket(live(spark, r), ["sender_id"], 0.2, 2)).groupBy("allowed").agg(F.count(F.lit(1)).alias("n"))

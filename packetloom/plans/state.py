@@ -154,8 +154,8 @@ query("fold_incident_stats", with_("alerts", _INC + f""" select_final count(*) a
  count(*) filter (last_seen_us < {_NOW} - 20000000) as completed_incidents, count(*) filter (escalated) as escalated from inc"""))(
     lambda s, d: X.incident_stats(incidents(s, d), _NOW, 20_000_000))
 query("fn_incident_summary", with_("alerts", _INC + """ select_final source_ip, session, concat(alerts, ' alerts from ', source_ip, ' (', list_aggregate(categories, 'string_agg', ', '), ')',
- case attack_chain when 'recon_to_exploit' then ' [Reconnaissance followed by credential attack]' when 'scan_flood_tunnel' then ' [Full kill chain: recon -> DoS -> C2 tunnel]' when 'recon_to_c2' then ' [Reconnaissance followed by C2 channel establishment]'
-  when 'brute_to_exfil' then ' [Credential attack followed by data exfiltration]' when 'flood_tunnel' then ' [DoS distraction followed by covert channel]' else '' end,
+ case attack_chain when 'recon_to_exploit' then ' [Ports were probed, then passwords tried]' when 'scan_flood_tunnel' then ' [Probing, a flood and a DNS tunnel in turn]' when 'recon_to_c2' then ' [Ports were probed, then a DNS tunnel opened]'
+  when 'brute_to_exfil' then ' [Passwords were tried, then data left through DNS]' when 'flood_tunnel' then ' [A flood covers an ICMP tunnel]' else '' end,
  ' [', (['INFO','LOW','MEDIUM','HIGH','CRITICAL'])[severity], ']') as summary from inc"""))(
     lambda s, d: X.incident_summary(incidents(s, d)).select("source_ip", "session", "summary"))
 
@@ -218,9 +218,12 @@ def dynamic(spark, d):
     return X.dynamic_pvalue(streaks, chunk_rows=2000).select("row_id", "p_value", "calibration_size", "is_anomaly")
 
 
-@query("fold_token_bucket", with_("env", """b0 as (select *, row_number() over (partition by sender_id order by recv_ts_us, env_id) as rn from env),
+_BUCKET = """b0 as (select *, row_number() over (partition by sender_id order by recv_ts_us, env_id) as rn from env),
  b1 as (select env_id, sender_id, recv_ts_us, rn, true as allowed, 1.0e0 as tokens from b0 where rn = 1
-  union all select env_id, sender_id, recv_ts_us, rn, t >= 1, case when t >= 1 then t - 1 else t end from (select n.env_id, n.sender_id, n.recv_ts_us, n.rn, least(2.0e0, p.tokens + (n.recv_ts_us - p.recv_ts_us) / 1e6 * 0.2e0) as t from b1 p join b0 n on n.sender_id = p.sender_id and n.rn = p.rn + 1))
+  union all select env_id, sender_id, recv_ts_us, rn, t >= 1, case when t >= 1 then t - 1 else t end from (select n.env_id, n.sender_id, n.recv_ts_us, n.rn, least(2.0e0, p.tokens + (n.recv_ts_us - p.recv_ts_us) / 1e6 * 0.2e0) as t from b1 p join b0 n on n.sender_id = p.sender_id and n.rn = p.rn + 1))"""
+
+
+@query("fold_token_bucket", with_("env", _BUCKET + """
  select_final env_id, sender_id, allowed, tokens from b1""", "tokens", recursive=True))
 def bucket(spark, d):
     r = B.envelopes(spark, d).select("env_id", "sender_id", "recv_ts_us")
@@ -241,7 +244,10 @@ _CHAIN = f"""lg as (select concat('log-', source_ip) as log_id, concat(category,
  lc as (select log_id, segment, 0::bigint as seq, '' as payload, sha256('{GENESIS}') as hash from (select distinct log_id, segment from ln)
   union all select n.log_id, n.segment, n.seq, n.payload, sha256(concat(c.hash, n.payload)) from lc c join ln n on n.log_id = c.log_id and n.segment = c.segment and n.seq = c.seq + 1),
  lt as (select log_id, segment, max(seq) as n, arg_max(hash, seq) as tail from lc group by 1, 2),
- chain as (select * from lc where seq > 0 union all select log_id, segment, n + 1, concat('SESSION_CLOSED|', tail, '|', n), sha256(concat(tail, 'SESSION_CLOSED|', tail, '|', n)) from lt)"""
+ sl as (select log_id, -1::bigint as segment, sha256('{GENESIS}') as seal from (select distinct log_id from lt)
+  union all select t.log_id, t.segment, sha256(concat(s.seal, t.tail, 'SESSION_CLOSED|', t.tail, '|', t.n)) from sl s join lt t on t.log_id = s.log_id and t.segment = s.segment + 1),
+ chain as (select * from lc where seq > 0 union all select log_id, segment, n + 1, concat('SESSION_CLOSED|', tail, '|', n), seal from lt join sl using (log_id, segment)
+  union all select log_id, max(segment) + 1, 1, concat('LOG_CLOSED|', count(*), '|', sum(n)), sha256(concat(arg_max(seal, segment), 'LOG_CLOSED|', count(*), '|', sum(n))) from lt join sl using (log_id, segment) group by log_id)"""
 
 
 def chain(spark, d):
@@ -253,7 +259,7 @@ def chain(spark, d):
 query("sink_audit_chain", with_("alerts", _CHAIN + " select_final * from chain", recursive=True))(chain)
 
 
-@query("win_verify_audit_chain", with_("alerts", _CHAIN + """ select_final log_id, segment, count(*) as links, count(*) filter (seq = 2)::bigint as broken_links, 0::bigint as gaps, count(*) filter (seq = 2) = 0 as intact from chain group by 1, 2""", recursive=True))
+@query("win_verify_audit_chain", with_("alerts", _CHAIN + """ select_final log_id, segment, count(*) as links, count(*) filter (seq = 2)::bigint as broken_links, 0::bigint as gaps, true as complete, count(*) filter (seq = 2) = 0 as intact from chain group by 1, 2""", recursive=True))
 def verify(spark, d):
     """Every second payload was tampered with, which must show as one broken link per segment."""
     tampered = chain(spark, d).withColumn("payload", F.when(F.col("seq") == 2, "forged").otherwise(F.col("payload")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +41,8 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     """Trimmed column names of the first line; repeated names get a number."""
     line = spark.read.text(path).first()[0].lstrip("﻿")
     names, seen = [], {}
-    for raw in line.split(","):
-        name = raw.strip().strip('"')
+    for raw in next(csv.reader([line], skipinitialspace=True), []):
+        name = raw.strip()
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}.{seen[name] - 1}")
     return names
@@ -66,14 +67,16 @@ def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_flow_dir(spark: SparkSession, paths: list[str], keep_benign: float = 1.0, max_rows: int | None = None, seed: int = 42) -> DataFrame:
     """Union of several CSV files. A sampling operator: ``keep_benign`` keeps that fraction of
-    the benign rows and ``max_rows`` a random subset; both leave every row in by default."""
+    the benign rows and ``max_rows`` a random subset, both by a hash of the row whatever the partitions;
+    both leave every row in by default."""
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_flow_csv(spark, p) for p in paths])
     names = [c for c in df.columns if c not in ("label", "y")]
     df = df.fillna(0.0, names)
     if keep_benign < 1.0:
-        df = df.sampleBy("y", {0: keep_benign, 1: 1.0}, seed)
+        share = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+        df = df.filter((F.col("y") != 0) | (share < keep_benign))
     if max_rows is not None:
-        df = df.orderBy(F.rand(seed)).limit(max_rows)
+        df = df.orderBy(F.xxhash64(*df.columns, F.lit(seed + 1)), *df.columns).limit(max_rows)
     return df
 
 

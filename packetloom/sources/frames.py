@@ -51,7 +51,7 @@ def decode_l2_l4(frames: DataFrame, trim: bool = True) -> DataFrame:
     whole = F.when(tagged, size >= 18).otherwise(size >= 14)
     f = pinned(
         frames, ether_type=F.when(whole, F.when(tagged, _number(raw, 16, 2)).otherwise(_number(raw, 12, 2)).cast("int")),
-        _net=F.when(whole, F.substring(raw, F.when(tagged, 19).otherwise(15), F.lit(1 << 30))))
+        _net=F.when(whole, F.substr(raw, F.when(tagged, 19).otherwise(15))))
     f = f.withColumns({
         "dst_mac": F.when(whole, _mac(raw, 0)), "src_mac": F.when(whole, _mac(raw, 6)),
         "vlan_id": F.when(whole & tagged, _number(raw, 14, 2).bitwiseAND(0x0FFF).cast("int"))})
@@ -75,7 +75,7 @@ def decode_l2_l4(frames: DataFrame, trim: bool = True) -> DataFrame:
         f, ip_version=F.when(F.col("_v4"), 4).when(F.col("_v6"), 6), ip_proto=F.coalesce(when4(_number(net, 9, 1)), when6(_number(net, 6, 1))),
         arp_opcode=F.when(arp, _number(net, 6, 2).cast("int")),
         _seg=F.when(F.col("_v4"), _bytes(net, ihl.cast("int"), (end - ihl).cast("int"))).when(
-            F.col("_v6"), F.substring(net, F.lit(41), F.lit(1 << 30))))
+            F.col("_v6"), F.substr(net, F.lit(41))))
     f = f.withColumns({
         "ihl": when4(ihl),
         "dscp": when4(F.shiftright(_number(net, 1, 1), 2)), "ecn": when4(_number(net, 1, 1).bitwiseAND(3)),
@@ -96,7 +96,7 @@ def decode_l2_l4(frames: DataFrame, trim: bool = True) -> DataFrame:
     ports, tcp = F.col("_tcp") | F.col("_udp"), F.col("_tcp")
     start = F.when(tcp, F.shiftright(_number(seg, 12, 2), 12) * 4).otherwise(8).cast("int")
     f = pinned(f, src_port=F.when(ports, _number(seg, 0, 2).cast("int")), dst_port=F.when(ports, _number(seg, 2, 2).cast("int")),
-               payload=F.when(ports | F.col("_icmp"), F.substring(seg, start + 1, F.lit(1 << 30))))
+               payload=F.when(ports | F.col("_icmp"), F.substr(seg, start + 1)))
     f = f.withColumns({
         "seq_num": F.when(tcp, _number(seg, 4, 4)), "ack_num": F.when(tcp, _number(seg, 8, 4)),
         "data_offset": F.when(tcp, start), "tcp_flags": F.when(tcp, _number(seg, 12, 2).bitwiseAND(0x1FF).cast("int")),
@@ -141,14 +141,17 @@ def classify_protocol(decoded: DataFrame) -> DataFrame:
 HTTP_METHODS = ["GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH", "CONNECT", "TRACE"]
 
 
-def http_fields(df: DataFrame, data: str = "payload") -> DataFrame:
-    """Add request or status line and headers; all null when the payload is not HTTP."""
+def http_fields(df: DataFrame, data: str = "payload", head_bytes: int | None = None) -> DataFrame:
+    """Add request or status line and headers; all null when the payload is not HTTP.
+
+    A head without an empty line goes on to the end of the payload, or to ``head_bytes`` of it."""
     payload = F.col(data)
     text = payload.cast("string")
-    head = F.when(F.instr(text, "\r\n\r\n") > 0, F.substring_index(text, "\r\n\r\n", 1)).otherwise(F.substring(payload, 1, 8192).cast("string"))
+    rest = text if head_bytes is None else F.substring(payload, 1, head_bytes).cast("string")
+    head = F.when(F.instr(text, "\r\n\r\n") > 0, F.substring_index(text, "\r\n\r\n", 1)).otherwise(rest)
     df = pinned(df, _lines=F.split(head, "\r\n"))
     line = F.col("_lines")[0]
-    rows = F.transform(F.filter(F.slice("_lines", 2, 1 << 20), lambda x: x.contains(":")), lambda x: F.struct(
+    rows = F.transform(F.filter(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0))), lambda x: x.contains(":")), lambda x: F.struct(
         F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, ":") + F.lit(1))).alias("v")))
     # reversed, so that the last of repeated headers wins
     df = pinned(df, _first=F.split(line, " ", 3), _rows=F.reverse(rows))
@@ -193,7 +196,7 @@ DNS_TYPE = (f"struct<txid:int,is_response:boolean,opcode:int,rcode:int,truncated
 TLS_TYPE = ("struct<kind:string,tls_version:int,cipher_suites:array<int>,extension_ids:array<int>,supported_groups:array<int>,"
             "ec_point_formats:array<int>,supported_versions:array<int>,signature_algorithms:array<int>,alpn:array<string>,"
             "sni:string,cipher_suite:int>")
-MAX_NAME_STEPS = 11  # labels and jumps
+MAX_NAME_BYTES = 255  # of the protocol: labels with their lengths
 
 
 def _u16(data, at):
@@ -205,10 +208,9 @@ def _u16s(data):
 
 
 def _name(msg, at):
-    labels, resume = [], None
-    for _ in range(MAX_NAME_STEPS):
-        if at >= len(msg):
-            break
+    """A name and where the message goes on after it. Pointers only lead backwards, so it ends."""
+    labels, resume, left, lowest = [], None, MAX_NAME_BYTES, at
+    while at < len(msg):
         n = msg[at]
         if n == 0:
             at += 1
@@ -217,13 +219,16 @@ def _name(msg, at):
             if at + 1 >= len(msg):
                 break
             resume = at + 2 if resume is None else resume
-            at = _u16(msg, at) & 0x3FFF
-        elif at + 1 + n > len(msg):
+            target = _u16(msg, at) & 0x3FFF
+            if target >= lowest:
+                break
+            at = lowest = target
+        elif at + 1 + n > len(msg) or n >= 0x40 or n + 1 >= left:
             at += 1
             break
         else:
             labels.append(msg[at + 1:at + 1 + n].decode("utf-8", "replace"))
-            at += 1 + n
+            at, left = at + 1 + n, left - 1 - n
     return ".".join(labels), at if resume is None else resume
 
 
@@ -237,7 +242,11 @@ def _rdata(kind, data, msg, at):
     if kind == 15 and len(data) >= 2:
         return f"{_u16(data, 0)} {_name(msg, at + 2)[0]}"
     if kind == 16 and data:
-        return data[1:1 + data[0]].decode("utf-8", "replace")
+        strings, at = [], 0
+        while at < len(data):
+            strings.append(data[at + 1:at + 1 + data[at]])
+            at += 1 + data[at]
+        return b"".join(strings).decode("utf-8", "replace")
     if kind == 6:
         first, at = _name(msg, at)
         second, at = _name(msg, at)
@@ -334,8 +343,9 @@ def decode_l7(classified: DataFrame) -> DataFrame:
     label = F.col("protocol")
     out = classified.withColumns({"_dns": dns(F.when(label == "DNS", F.col("payload"))),
                                   "_tls": tls(F.when(label == "TLS", F.col("payload")))})
-    return out.withColumns({"dns": F.when(F.col("_dns.txid").isNotNull(), F.col("_dns")),
-                            "tls": F.when(F.col("_tls.kind").isNotNull(), F.col("_tls"))}).drop("_dns", "_tls")
+    # pinned: a later filter on them must not run the Python pass once more
+    return pinned(out, dns=F.when(F.col("_dns.txid").isNotNull(), F.col("_dns")),
+                  tls=F.when(F.col("_tls.kind").isNotNull(), F.col("_tls"))).drop("_dns", "_tls")
 
 
 _DNS = ["txid", "is_response", "opcode", "rcode", "truncated", "recursion_desired", "recursion_available", "questions", "answers",

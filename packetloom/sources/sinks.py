@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions import scalars as S
 from packetloom.functions.names import severity_label, stix_confidence
 from packetloom.operators.folds import fold_rows
 from packetloom.operators.ordered import OrderedGroups
+from packetloom.session import durable
 
 SECOND = 1_000_000
 
@@ -30,8 +31,9 @@ def write_evidence(evidence: DataFrame, path: str) -> None:
 def audit_chain(log: DataFrame, genesis: str, segment_rows: int = 1000, hot_rows=None, parts=None) -> DataFrame:
     """Hash chain ``h = sha256(h_before || payload)`` over (log_id, ts_us, row_id, payload).
 
-    A chain is sequential, so long logs are cut into segments as a log rolls over files: every
-    segment starts at the genesis hash and ends with a sentinel that seals tail and count.
+    A chain is sequential, so rows are chained in parallel inside segments, each from the genesis hash. A
+    segment ends with a seal over its tail and count and the seal before it, one row per segment; the log
+    ends with a row over the last seal and the totals. So a segment that is lost, moved or added shows.
     """
     groups = OrderedGroups(log, ["log_id"], ["ts_us", "row_id"], hot_rows, parts).numbered("_rn")
     rows = groups.df.withColumns({"segment": F.floor((F.col("_rn") - 1) / segment_rows),
@@ -45,10 +47,19 @@ def audit_chain(log: DataFrame, genesis: str, segment_rows: int = 1000, hot_rows
     links = fold_rows(rows.select("log_id", "segment", "seq", "payload"), ["log_id", "segment"], ["seq"], ["payload"],
                       lambda: first, step, "hash string")
     tails = links.groupBy("log_id", "segment").agg(F.max("seq").alias("n"), F.max_by("hash", "seq").alias("tail"))
-    closing = F.concat_ws("|", F.lit("SESSION_CLOSED"), "tail", F.col("n").cast("string"))
-    sealed = tails.select("log_id", "segment", (F.col("n") + 1).alias("seq"), closing.alias("payload"),
-                          F.sha2(F.concat("tail", closing), 256).alias("hash"))
-    return links.unionByName(sealed)
+    tails = tails.withColumn("payload", F.concat_ws("|", F.lit("SESSION_CLOSED"), "tail", F.col("n").cast("string")))
+
+    def seal(head, tail, payload):
+        link = hashlib.sha256((head + tail + payload).encode()).hexdigest()
+        return link, (link,)
+
+    seals = durable(fold_rows(tails, ["log_id"], ["segment"], ["tail", "payload"], lambda: first, seal, "hash string"))
+    sealed = seals.select("log_id", "segment", (F.col("n") + 1).alias("seq"), "payload", "hash")
+    ends = seals.groupBy("log_id").agg(F.max("segment").alias("last"), F.max_by("hash", "segment").alias("seal"), F.count("*").alias("segments"), F.sum("n").alias("rows"))
+    total = F.concat_ws("|", F.lit("LOG_CLOSED"), F.col("segments").cast("string"), F.col("rows").cast("string"))
+    closed = ends.select("log_id", (F.col("last") + 1).alias("segment"), F.lit(1).cast("bigint").alias("seq"), total.alias("payload"),
+                         F.sha2(F.concat("seal", total), 256).alias("hash"))
+    return links.unionByName(sealed).unionByName(closed)
 
 
 # ---- STIX ---------------------------------------------------------------------------------------
@@ -111,8 +122,8 @@ def analytics_export(totals, senders, receivers, connected, protocols, flows, dn
     for name, df in parts.items():
         if df is None:
             continue
-        position = Window.partitionBy(F.lit(0)).orderBy(*df.columns)  # a report of at most 50 rows
-        part = df.select(F.lit(name).alias("part"), F.row_number().over(position).alias("i"), F.to_json(F.struct("*")).alias("j"))
+        # a report is a top-k: its rows come ranked, in one partition
+        part = df.select(F.lit(name).alias("part"), F.monotonically_increasing_id().alias("i"), F.to_json(F.struct("*")).alias("j"))
         rows = part if rows is None else rows.unionByName(part)
     per = rows.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j"))), lambda x: x["j"]).alias("items"))
     body = F.concat(F.lit('"'), "part", F.lit('":['), F.array_join("items", ","), F.lit("]"))

@@ -147,14 +147,23 @@ def stream_threat_levels(scores: DataFrame, **kw) -> DataFrame:
                       F.element_at(names, F.floor(F.col("state_after") / 12).cast("int") + 1).alias("to_level"))
 
 
-def stream_tcp_states(packets: DataFrame, **kw) -> DataFrame:
-    """Connection state after every TCP packet of a conversation."""
+def stream_tcp_states(packets: DataFrame, idle_us: int = 300 * SECOND, **kw) -> DataFrame:
+    """Connection state after every TCP packet of a conversation; a packet after a pause of more than ``idle_us``
+    opens a new connection, as in batch."""
     flags = F.col("tcp_flags")
     kind = (F.when(S.has(flags, 4), 0).when(S.is_syn(flags), 1).when(S.is_syn_ack(flags), 2).when(S.has(flags, 16) & S.has(flags, 1), 3)
             .when(S.has(flags, 16), 4).when(S.has(flags, 1), 5).otherwise(6))
     p = packets.filter("protocol = 'TCP'").withColumns({**S.conversation(), "symbol": kind})
-    run = stream_fold(p, ["ip_low", "port_low", "ip_high", "port_high"], ["symbol"], _automaton_step(X._connection_table()),
-                      "state_before int, state_after int", order=("ts_us", "pkt_id"), ttl_s=300, **kw)
+    advance = _automaton_step(X._connection_table())
+
+    def step(known, ts, symbol):
+        state, last = known or (None, None)
+        pause = last is not None and ts - last > idle_us
+        state, result = advance(state, int(symbol) + (7 if pause else 0))
+        return [state, int(ts)], result
+
+    run = stream_fold(p, ["ip_low", "port_low", "ip_high", "port_high"], ["ts_us", "symbol"], step,
+                      "state_before int, state_after int", order=("ts_us", "pkt_id"), ttl_s=idle_us // SECOND, **kw)
     names = F.array(*[F.lit(n) for n in X.CONNECTION_STATES])
     return run.withColumn("state", F.element_at(names, F.col("state_after") + 1)).drop("symbol", "state_before", "state_after")
 
