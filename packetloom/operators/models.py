@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.scalars import sigmoid
@@ -179,13 +179,17 @@ def fit_forest(df: DataFrame, row_id: str = "row_id", vector: str = "features",
     from has ``trees * sample`` rows at most, and so has everything that follows."""
     pool = training_pool(df.select(F.col(row_id).alias("_rid"), F.col(vector).alias("_x")), "_rid", trees * sample, seed)
     # a seeded random order per tree; its first rows are the tree's sample
-    tagged = pool.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    tagged = tagged.withColumn("_h", F.xxhash64("_rid", "_tree", F.lit(seed + 1)))
+    pool = pool.persist()
+    ids = pool.select("_rid", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"))
+    ids = ids.withColumn("_h", F.xxhash64("_rid", "_tree", F.lit(seed + 1)))
+    place = F.row_number().over(Window.partitionBy("_tree").orderBy("_h", "_rid"))
+    # only ids are ranked; a vector goes to the trees that drew it
+    tagged = ids.withColumn("_place", place).filter(F.col("_place") <= sample).drop("_place").join(pool, "_rid")
     shape = "tree int, n int, node int, feature int, normal array<double>, value double, lft int, rgt int, path double"
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["_tree"].iloc[0])
-        chosen = pdf.nsmallest(sample, ["_h", "_rid"]) if len(pdf) > sample else pdf.sort_values(["_h", "_rid"])
+        chosen = pdf.sort_values(["_h", "_rid"])
         x = np.stack(chosen["_x"].to_numpy()).astype(float)
         height = max(1, math.ceil(math.log2(max(len(x), 2))))
         nodes = _grow(x, np.random.default_rng([seed, tree]), height, extension)
@@ -194,6 +198,7 @@ def fit_forest(df: DataFrame, row_id: str = "row_id", vector: str = "features",
 
     # at most trees * 2 * sample nodes
     table = tagged.groupBy("_tree").applyInPandas(grow, shape).toPandas()
+    pool.unpersist()
     if table.empty:
         raise ValueError("no rows to train on")
     n = int(table["n"].max())
@@ -323,31 +328,29 @@ def fit_autoencoder(df: DataFrame, row_id: str = "row_id", vector: str = "featur
 
     def partials(model):
         def run(batches):
-            total, n, loss, vn, vloss = None, 0, 0.0, 0, 0.0
+            size = sum(p.size for p in [*model.weights, *model.biases])
+            total, tail, seen = np.zeros(size), np.zeros(4), False
             for pdf in batches:
                 if not len(pdf):
                     continue
                 x, val = np.stack(pdf["_x"].to_numpy()).astype(float), pdf["_val"].to_numpy(bool)
-                vn, vloss = vn + int(val.sum()), vloss + float(model.errors(x[val]).sum())
+                seen = True
+                tail[2:] += val.sum(), model.errors(x[val]).sum()
                 x = x[~val]
                 if len(x):
-                    flat = np.concatenate([g.ravel() for pair in model.gradients(x) for g in pair])
-                    total = flat if total is None else total + flat
-                    n, loss = n + len(x), loss + float(model.errors(x).sum())
-            if n or vn:
-                yield pd.DataFrame({"g": [total if total is not None else []], "n": [n], "loss": [loss], "vn": [vn], "vloss": [vloss]})
+                    total += np.concatenate([g.ravel() for pair in model.gradients(x) for g in pair])
+                    tail[:2] += len(x), model.errors(x).sum()
+            if seen:
+                yield pd.DataFrame({"g": [np.concatenate([tail, total])]})
 
         return run
 
     for epoch in range(1, epochs + 1):
-        sums = rows.mapInPandas(partials(net), "g array<double>, n bigint, loss double, vn bigint, vloss double")
-        # add up per position on the executors: the driver sees one row per weight
-        flat = sums.select(F.posexplode("g").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"))
-        tail = sums.select(F.lit(-1).alias("i"), F.array("n", "loss", "vn", "vloss").alias("t"))
-        tail = tail.groupBy("i").agg(*[F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(4)])
-        both = flat.join(tail, "i", "full_outer").toPandas().sort_values("i")
-        n, loss, vn, vloss = both[["t0", "t1", "t2", "t3"]].iloc[0]
-        grad = both["g"].to_numpy()[1:] / max(n, 1)
+        # numbers, errors and gradients in one array, added up per position on the executors: one pass, and
+        # the driver sees one row per weight
+        sums = rows.mapInPandas(partials(net), "g array<double>").select(F.posexplode("g").alias("i", "g"))
+        both = sums.groupBy("i").agg(F.sum("g").alias("g")).toPandas().sort_values("i")["g"].to_numpy()
+        (n, loss, vn, vloss), grad = both[:4], both[4:] / max(both[0], 1)
         offset, grads_w, grads_b = 0, [], []
         for w, b in zip(net.weights, net.biases):
             grads_w.append(grad[offset:offset + w.size].reshape(w.shape))

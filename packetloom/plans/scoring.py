@@ -173,3 +173,44 @@ def retrain(spark, d):
     rare = F.col("packet_rate") > 30
     stats, model = M.retrain_with_feedback(f.filter(~rare), f.filter(rare), A.WINDOW14, least=10, trees=25)
     return M.score_forest(M.with_vector(M.apply_zscore(f, stats, A.WINDOW14), A.WINDOW14), model).select("row_id", "score")
+
+
+# ---- what must hold of random models, as rows an oracle can state -----------------------------------
+
+
+def model_checks(make, scores=("score",)):
+    """One row: number of rows, how many have scores in [0, 1], and whether a second run gives the same scores."""
+    def checks(spark, d):
+        one, two = make(spark, d), make(spark, d)
+        inside = F.lit(True)
+        for c in scores:
+            inside = inside & F.coalesce((F.col(c) >= 0) & (F.col(c) <= 1), F.lit(False))
+        runs = one.select(*scores, F.lit(1).alias("_run")).unionByName(two.select(*scores, F.lit(2).alias("_run")))
+        digest = F.xxhash64(*[F.round(F.col(c), 9) for c in scores]).cast("decimal(38,0)")
+        first, second = F.col("_run") == 1, F.col("_run") == 2
+        return runs.agg(F.count_if(first).alias("rows"), F.count_if(first & inside).alias("in_range"),
+                        (F.sum(F.when(first, digest)) == F.sum(F.when(second, digest))).alias("repeatable"))
+
+    return checks
+
+
+_COUNT = " select_final count(*) as rows, count(*) as in_range, true as repeatable from {}"
+_SECONDS = "sw as (select distinct ts_us - ts_us % 2000000 as s from packets)"
+query("model_isolation_forest_checks", with_("feats", _COUNT.format("feats").strip()))(model_checks(forest))
+query("model_retrain_with_feedback_checks", with_("packets", _SECONDS + _COUNT.format("sw")))(model_checks(retrain))
+
+
+@query("model_pca_2d_checks", with_("feats", "select count(*) as rows, true as ordered, true as uncorrelated from feats"))
+def pca_checks(spark, d):
+    """The first component varies at least as much as the second, and they do not vary together."""
+    p = M.pca_2d(B.features(spark, d))
+    return p.agg(F.count(F.lit(1)).alias("rows"), (F.var_pop("pc1") >= F.var_pop("pc2")).alias("ordered"), (F.abs(F.corr("pc1", "pc2")) < 1e-6).alias("uncorrelated"))
+
+
+@query("model_isolation_forest_flags", with_("feats", "select true as share_kept, true as flagged_score_highest from feats limit 1"))
+def forest_flags(spark, d):
+    """A contamination of a tenth flags about a tenth, and nothing unflagged scores above a flagged row."""
+    f = forest(spark, d)
+    share = F.avg("predicted")
+    return f.agg(((share > 0.08) & (share < 0.12)).alias("share_kept"), (
+        F.min(F.when(F.col("predicted") == 1, F.col("score"))) >= F.max(F.when(F.col("predicted") == 0, F.col("score")))).alias("flagged_score_highest"))
