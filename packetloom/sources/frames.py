@@ -207,11 +207,12 @@ def _u16s(data):
     return [_u16(data, i) for i in range(0, len(data) - 1, 2)]
 
 
-def _name(msg, at):
-    """A name and where the message goes on after it. Pointers only lead backwards, so it ends."""
-    labels, resume, left, lowest = [], None, MAX_NAME_BYTES, at
-    while at < len(msg):
-        n = msg[at]
+def _name(msg, at, steps=None):
+    """A name and where the message goes on after it. Pointers only lead backwards, so it ends; ``steps`` is a
+    lower limit of labels and jumps, after which a name is cut."""
+    labels, resume, left, lowest, taken = [], None, MAX_NAME_BYTES, at, 0
+    while at < len(msg) and (steps is None or taken < steps):
+        n, taken = msg[at], taken + 1
         if n == 0:
             at += 1
             break
@@ -232,15 +233,15 @@ def _name(msg, at):
     return ".".join(labels), at if resume is None else resume
 
 
-def _rdata(kind, data, msg, at):
+def _rdata(kind, data, msg, at, steps=None):
     if kind == 1 and len(data) == 4:
         return ".".join(map(str, data))
     if kind == 28 and len(data) == 16:
         return ":".join(f"{x:x}" for x in _u16s(data))
     if kind in (2, 5, 12):
-        return _name(msg, at)[0]
+        return _name(msg, at, steps)[0]
     if kind == 15 and len(data) >= 2:
-        return f"{_u16(data, 0)} {_name(msg, at + 2)[0]}"
+        return f"{_u16(data, 0)} {_name(msg, at + 2, steps)[0]}"
     if kind == 16 and data:
         strings, at = [], 0
         while at < len(data):
@@ -248,35 +249,36 @@ def _rdata(kind, data, msg, at):
             at += 1 + data[at]
         return b"".join(strings).decode("utf-8", "replace")
     if kind == 6:
-        first, at = _name(msg, at)
-        second, at = _name(msg, at)
+        first, at = _name(msg, at, steps)
+        second, at = _name(msg, at, steps)
         tail = struct.unpack("!5I", msg[at:at + 20]) if at + 20 <= len(msg) else ()
         return " ".join([first, second, *map(str, tail)])
     if kind == 33 and len(data) >= 6:
-        return f"{_u16(data, 0)} {_u16(data, 2)} {_u16(data, 4)} {_name(msg, at + 6)[0]}"
+        return f"{_u16(data, 0)} {_u16(data, 2)} {_u16(data, 4)} {_name(msg, at + 6, steps)[0]}"
     return data.hex()
 
 
-def read_dns(msg: bytes | None):
-    """One DNS message as a dict, None when it is shorter than a header."""
+def read_dns(msg: bytes | None, name_steps: int | None = None):
+    """One DNS message as a dict, None when it is shorter than a header. Names are whole; ``name_steps`` cuts them
+    after so many labels and jumps, as some sensors do."""
     if msg is None or len(msg) < 12:
         return None
     txid, flags, *counts = struct.unpack("!6H", msg[:12])
     at, questions, sections = 12, [], [[], [], []]
     for _ in range(counts[0]):
-        name, at = _name(msg, at)
+        name, at = _name(msg, at, name_steps)
         if at + 4 > len(msg):
             break
         questions.append({"name": name, "qtype": _u16(msg, at), "qclass": _u16(msg, at + 2)})
         at += 4
     for section, count in zip(sections, counts[1:]):
         for _ in range(count):
-            name, at = _name(msg, at)
+            name, at = _name(msg, at, name_steps)
             if at + 10 > len(msg):
                 break
             kind, cls, ttl, size = struct.unpack("!HHIH", msg[at:at + 10])
             at += 10
-            section.append({"name": name, "rtype": kind, "rclass": cls, "ttl": ttl, "rdata": _rdata(kind, msg[at:at + size], msg, at)})
+            section.append({"name": name, "rtype": kind, "rclass": cls, "ttl": ttl, "rdata": _rdata(kind, msg[at:at + size], msg, at, name_steps)})
             at += size
     return {"txid": txid, "is_response": flags >= 0x8000, "opcode": flags >> 11 & 15, "rcode": flags & 15,
             "truncated": bool(flags & 0x200), "recursion_desired": bool(flags & 0x100), "recursion_available": bool(flags & 0x80),
