@@ -128,17 +128,15 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     """``docs`` with secrets replaced in ``text_col``, and ``length_col`` (if there is one) set to the new length where
     something was replaced. Texts without secrets, and all other columns, stay as they are."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        import pandas as pd
-
-        hit = pc.fill_null(pc.match_substring_regex(pa.array(texts, pa.string(), from_pandas=True), SCREEN), False).to_pylist()
-        out = []
-        for text, h in zip(texts, hit):
-            base = base_spans(text) if h else []
-            spans = base + novel_spans(text, base) if h else []
-            out.append(redact(text, spans, mark) if spans else None)
-        return pd.Series(out, index=texts.index, dtype=object)
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        out = [None] * len(texts)
+        for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, SCREEN), False)).to_pylist():
+            text = texts[i].as_py()
+            base = base_spans(text)
+            if spans := base + novel_spans(text, base):
+                out[i] = redact(text, spans, mark)
+        return pa.array(out, pa.string())
 
     made = docs.withColumn("_clean", clean(F.col(text_col)))
     made = made.withColumn(text_col, F.coalesce("_clean", text_col))

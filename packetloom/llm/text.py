@@ -16,7 +16,7 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-CHUNK = 4 << 20
+CHUNK = 1 << 20  # bytes of text at a time: a worker needs some 50 times as much
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

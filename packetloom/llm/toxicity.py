@@ -276,15 +276,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id
     """``docs`` without the rows that score ``threshold`` or more; texts are scored where they are, no row moves."""
     slots, weights, _ = fitted(docs, labels, id_col, text_col, **fit)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        column = pc.fill_null(pa.array(texts, pa.string(), from_pandas=True), "")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        column = pc.fill_null(texts, "")
         parts = [np.zeros(0)]
         for lo, hi in chunks(column):
             doc, slot = hits(column[lo:hi], slots)
             parts.append(scores(np.searchsorted(doc, np.arange(hi - lo + 1)), slot, weights))
-        return pd.Series(np.concatenate(parts), index=texts.index)
+        return pa.array(np.concatenate(parts))
 
     return docs.filter(score(F.col(text_col)) < threshold)
