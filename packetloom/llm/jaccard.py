@@ -48,7 +48,7 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(words.first)
     shingles = np.zeros(len(h), np.uint64)
     for k in range(size):
-        shingles[: len(h) - k] += h[k:] * _K[k]
+        shingles[: max(len(h) - k, 0)] += h[k:] * _K[k]
     last = np.repeat(words.first[1:], n)
     place = np.arange(len(h))
     whole = place + size <= last
