@@ -42,6 +42,16 @@ def test_personal_base_spans(text):
         if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
             want.append((m.start(), 3, m.end()))
     assert sorted(pii.base_spans(text)) == sorted(want)
+    if want:
+        assert re.search(pii.SCREEN, text)
+
+
+def test_personal_data_of_single_digits(spark, docs_of):
+    rows = [(1, "dns 8.8.8.8 up"), (2, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"), (3, "call +1 2 3 4 5 6 7 8 9 now"), (4, "a 5 b")]
+    got = {r.doc_id: r for r in pii.personal_data(docs_of(rows)).collect()}
+    assert [(got[k].n_ip, got[k].n_card, got[k].n_phone, got[k].spans) for k in (1, 2, 3, 4)] == [
+        (1, 0, 0, "ip:4:11"), (0, 1, 0, "card:0:31"), (0, 0, 1, "phone:5:23"), (0, 0, 0, "")]
+    assert got[1].base_sha256 == hashlib.sha256(b"ip:4:11").hexdigest()
 
 
 @pytest.mark.parametrize("text, novel", [
