@@ -64,7 +64,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     window = lambda i: F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(5)])
     d = d.select(
         *rest, n.alias("n_words"), F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
-        F.when(n >= 10, F.transform(F.sequence(F.lit(0), F.size("_words") - 5), window)).alias("_h"))
+        F.when(n >= 5, F.transform(F.sequence(F.lit(0), F.size("_words") - 5), window)).alias("_h"))
     pairs, _ = repeated_words(F.col("_h"), F.col("_h"))
     # most texts repeat no window; only the others are sorted
     d = d.select(*rest, "n_words", "word_chars", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.col("_h")).alias("_h"))

@@ -72,6 +72,17 @@ def test_mixing(spark, docs_of):
 words = st.lists(st.sampled_from(["a", "b", "c.", "d|", "##", "HOME", "E", "\n", "x y z w v."]), max_size=60).map(" ".join)
 
 
+def test_quality_counts_repeats_of_short_texts(spark, docs_of):
+    texts = ["ha " * k for k in range(4, 11)] + ["a b " * 4, "a b c " * 3, "a b c d " * 2, "one two three four five six"]
+    got = {r.doc_id: r for r in quality.quality(docs_of(list(enumerate(texts))), min_words=5).collect()}
+    for k, text in enumerate(texts):
+        w = WORD.findall(text)
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        cover = {i + j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(5)}
+        assert got[k].n_repeat_words == len(cover)
+        assert got[k].base_failed == (len(w) < 5 or 100 * len(cover) > 20 * len(w))
+
+
 def test_quality(spark, docs_of):
     rng = random.Random(2)
     pool = ["a", "b", "c.", "d|", "## ", "HOME", "\n", "x y z w v.", "é", "\t"]
