@@ -5,12 +5,16 @@ with an identifier dictionary and the text around it, above the size of an empty
 the surroundings compress to little; a random string costs nearly its entropy and is reported as ``novel``.
 
 Defined results: a null text counts as empty; every match of a repeated row is reported per row; an empty table gives
-an empty result; other columns are not read. Texts are read whole; work is linear in their length.
+an empty result; other columns are not read. Texts are read whole; work is linear in their length, but for unbroken strings
+with many sensitive words inside, which are judged from each of these on.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +33,10 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Words that make what follows them sensitive.
 SENSITIVE = re.compile(
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization|_key)?|bearer|"
-    r"credentials?|signature|session[ _-]?id|cookie|client[ _-]?id|webhook|seed phrase|encryption key)\b", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
+    r"credentials?|signature|session[ _-]?id|cookie|client[ _-]?id|webhook|seed phrase|encryption key)s?(?:\b|(?=_)|(?=(?-i:[A-Z])))", re.I | re.A)
+LEAST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LEAST},}}")
+NAME = re.compile(r"[A-Za-z0-9_.-]*=+")
 #: One linear test for whole batches; texts without a hit are clean.
 SCREEN = r"(?i:pass|pwd|secret|token|api.?key|access.?key|private.?key|auth|bearer|credential|signature|session|cookie|client|webhook|seed phrase|encryption key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 #: What identifiers are made of; the raw dictionary of every compression.
@@ -42,6 +48,13 @@ IDENTIFIERS = (
     "example test sample demo placeholder changeme your_api_key your-token-here xxxxxxxx 00000000 12345678 abcdefghijklmnopqrstuvwxyz "
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 http https www com org net io github localhost settings environment variable process env "
     "path file directory home usr local bin lib etc tmp var log json yaml xml html css script style module package version release "
+    "account service database specification implementation representation recommendation information application authentication authorization "
+    "administration documentation configuration initialization serialization validation verification notification transaction communication "
+    "infrastructure architecture environment management development deployment requirement certificate encryption decryption permission "
+    "credentials registration organization distribution subscription expiration classification identification generation replacement "
+    "understanding relationship responsibility availability compatibility vulnerability accessibility functionality opportunities "
+    "automatically immediately successfully unfortunately respectively independently characteristics international professional traditional "
+    "conversation conference experience performance difference reference interface resource the and for with from that which between through "
 ).lower().encode()
 
 #: Where identifiers are put together: at changes of case, at digits and at separators.
@@ -62,25 +75,50 @@ def marginal_bytes(candidate: bytes, context: bytes) -> int:
     return len(pack(candidate)) - len(pack(b""))
 
 
+def peer(value: str) -> str:
+    """A random string with the same kinds of characters at the same places; the same one every time."""
+    rng = random.Random(len(value))
+    kind = {**dict.fromkeys(string.digits, string.digits), **dict.fromkeys(string.ascii_lowercase, string.ascii_lowercase),
+            **dict.fromkeys(string.ascii_uppercase, string.ascii_uppercase)}
+    return "".join(rng.choice(kind.get(c, c)) for c in value)
+
+
+def novel(value: str, around: str, least: float) -> bool:
+    """Whether the marginal size reaches ``least`` of the size. In long strings zstandard packs letters and digits into
+    fewer bits, random or not; there a random string of the same kind is the measure."""
+    words, known = plain_words(value), plain_words(around)
+    size = marginal_bytes(words, known)
+    return size >= least * len(words) or (len(words) > 40 and size >= least * marginal_bytes(plain_words(peer(value)), known))
+
+
 def novel_spans(text: str, taken: list[Span], reach: int = 40, window: int = 400, least: float = 0.8) -> list[Span]:
     """Candidates within ``reach`` characters after a sensitive word whose marginal size is at least ``least`` of their
     size, primed with ``window`` characters on both sides. Candidates that a base span covers are left to it."""
-    found: dict[int, Span] = {}
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach + 4096)):
-            a, b = m.span()
+    found: list[Span] = []
+    judged: set[int] = set()
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    ends = [b for _, b in runs]
+    done = 0  # what a found candidate covers is not judged again
+    for word in SENSITIVE.finditer(text) if runs else ():
+        for k in range(bisect_right(ends, word.end()), len(runs)):
+            a, b = runs[k]
             if a > word.end() + reach:
                 break
-            value = m.group()
-            mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-            if not mixed or a in found or any(s < b and a < e for s, _, e in taken):
+            if a < word.end():
+                # the name may go on before the value: SECRET_KEY=...
+                a = word.end()
+                name = NAME.match(text, a, b)
+                a = name.end() if name and b - name.end() >= LEAST else a
+            if b - a < LEAST or a < done or a in judged or any(s < b and a < e for s, _, e in taken):
                 continue
+            judged.add(a)
+            value = text[a:b]
             # a secret said twice is still one: its own repeats do not count as surroundings
             around = (text[max(0, a - window) : a] + " " + text[b : b + window]).replace(value, " ")
-            words = plain_words(value)
-            if marginal_bytes(words, plain_words(around)) >= least * len(words):
-                found[a] = (a, 3, b)
-    return list(found.values())
+            if novel(value, around, least):
+                found.append((a, 3, b))
+                done = b
+    return found
 
 
 def base_spans(text: str) -> list[Span]:

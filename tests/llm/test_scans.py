@@ -1,7 +1,9 @@
 """Secrets, personal data, licenses: brute force over generated texts, defined results, round trips."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from hypothesis import given, settings
@@ -63,6 +65,24 @@ def test_novelty(text, novel):
     assert bool(secrets.novel_spans(text, [])) == novel
 
 
+def test_long_and_unmixed_secrets():
+    rng = random.Random(8)
+    base64 = string.ascii_letters + string.digits + "+/"
+    for alphabet in (base64, string.ascii_letters, string.ascii_lowercase, string.digits):
+        for n in (20, 60, 200, 6000):
+            text = "private key is " + "".join(rng.choice(alphabet) for _ in range(n))
+            assert secrets.novel_spans(text + " end", []) == [(15, 3, 15 + n)]
+            assert secrets.redact(text + " end", secrets.novel_spans(text + " end", [])) == "private key is [secret] end"
+    assert not secrets.novel_spans("secret " + "a" * 3000, []) and not secrets.novel_spans("secret " + "abc123" * 50, [])
+    assert not secrets.novel_spans("the token specification and session infrastructure", [])
+
+
+@pytest.mark.parametrize("before", ["SECRET_KEY = '", "secretKey: ", "STRIPE_SECRET_KEY=", "secrets: "])
+def test_names_that_go_on(before):
+    text = before + "9aX7qLm2ZpT4vB8nR6wYk1Qd"
+    assert secrets.novel_spans(text, secrets.base_spans(text)) == [(len(before), 3, len(text))] and re.search(secrets.SCREEN, text)
+
+
 def test_secret_rows(spark, docs_of):
     rows = [(1, None), (2, ""), (3, "token = abcdef1"), (3, "token = abcdef1"), (None, "x" * 300_000 + " AKIA" + "A" * 16), (4, "clean text")]
     got = {(r.doc_id, r.n_assign, r.n_access, r.spans) for r in secrets.scan_secrets(docs_of(rows)).collect()}
