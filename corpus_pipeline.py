@@ -1,6 +1,6 @@
 """A training-data pipeline: STAGES over ``documents``, each written as Parquet and read again.
 
-toxicity drops what it rejects, near duplicates keep one document of each group, secrets are replaced in the texts,
+toxicity drops what it rejects, near duplicates (five-word shingles, 0.80 or more) keep one document of each group, secrets are replaced in the texts,
 sources are mixed to their target weights in whole documents, and the mix is packed. All stages but the last return
 the columns of ``documents``.
 """
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, size=5, pct=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,16 @@ def test_toxicity_rows(spark, docs_of):
     assert one == two and min(one[k] for k in range(0, 400, 3)) > 0.3 > max(one[k] for k in range(1, 400, 3))
 
 
+def test_near_copies_by_five_words(spark, docs_of):
+    words = [f"word{k}" for k in range(100)]
+    near = [w if k not in (30, 60) else "edit" + w for k, w in enumerate(words)]
+    sets = [[{tuple(x[i : i + n]) for i in range(len(x) - n + 1)} for x in (words, near)] for n in (4, 5)]
+    four, five = (len(a & b) / len(a | b) for a, b in sets)
+    assert four < 0.85 and 0.80 <= five < 0.85
+    docs = docs_of([(1, " ".join(words)), (2, " ".join(near)), (3, "something else altogether that nobody has copied from")])
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()) == [1, 3]
+
+
 def test_stages(spark, tmp_path):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
