@@ -5,8 +5,9 @@ extends the last, the new part is the turn's span, and two probes of the turn sh
 that does not extend the last one shows that the template rewrites history: the turns it touches are marked unstable and
 carry no loss.
 
-Prefixes are taken inside windows of turns, with the turn before as context, so the work is linear in the length of a
-conversation. Conversations stream through their task turn by turn; a piece of ``window`` turns is the most that is held.
+A template is shown the true prefixes of a conversation, so a conversation is held whole and its work grows with the square
+of its turns. Templates whose text for a turn depends on the turn alone can be declared local with ``window``: prefixes are
+then taken inside windows of so many turns, with the turn before as context, and a window is the most that is held.
 
 Defined results: a null text or role counts as empty; turns in null or equal positions are ordered null first, then by
 role and text; repeated rows are separate turns; rows without a conversation id form one conversation; an empty table
@@ -65,16 +66,18 @@ def probe(render: Render, before: list[Message], role: str) -> tuple[str, str]:
     return one[:at], one[at + 1 :]
 
 
-def locate(render: Render, context: list[Message], messages: list[Message], probes: dict) -> tuple[str, list[list]]:
-    """The formatted text of ``messages`` after ``context``, and ``[start, end, text_start, text_end, stable]`` of each turn."""
-    start = previous = render(context)
+def locate(render: Render, context: list[Message], messages: list[Message], probes: dict, whole: bool = False) -> tuple[str, list[list]]:
+    """The formatted text of ``messages`` after ``context``, and ``[start, end, text_start, text_end, stable]`` of each turn.
+    ``whole``: with what the template puts before any turn, and with probes of each turn's own."""
+    previous = render(context)
+    cut = 0 if whole else len(previous)
     spans: list[list] = []
     for k, (role, _) in enumerate(messages):
         current = render([*context, *messages[: k + 1]])
         if current.startswith(previous):
-            a, b = len(previous) - len(start), len(current) - len(start)
+            a, b = len(previous) - cut, len(current) - cut
             part = current[len(previous) :]
-            for fresh in (False, True):
+            for fresh in (True,) if whole else (False, True):
                 if fresh or role not in probes:
                     probes[role] = probe(render, [*context, *messages[:k]], role)
                 head, tail = probes[role]
@@ -83,16 +86,16 @@ def locate(render: Render, context: list[Message], messages: list[Message], prob
                     break
             spans.append([a, b, a + len(head), b - len(tail), True] if fits else [a, b, a, a, False])
         else:
-            same = len(os.path.commonprefix([previous, current])) - len(start)
+            same = len(os.path.commonprefix([previous, current])) - cut
             for s in spans:
                 if s[1] > same:
                     s[:] = [min(s[0], max(same, 0)), max(same, 0), 0, 0, False]
-            spans.append([max(same, 0), len(current) - len(start), 0, 0, False])
+            spans.append([max(same, 0), len(current) - cut, 0, 0, False])
         previous = current
-    return previous[len(start) :], spans
+    return previous[cut:], spans
 
 
-def conversations(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[bool, object, list[Message], list[Message]]]:
+def conversations(batches: Iterator[pa.RecordBatch], window: int | None) -> Iterator[tuple[bool, object, list[Message], list[Message]]]:
     """Windows of turns from rows sorted by conversation: whether it begins one, its id, the turn before, the turns."""
     now, held, before, first = None, [], [], True
     for batch in batches:
@@ -112,11 +115,13 @@ def conversations(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tu
 
 
 def format_conversations(turns: DataFrame, template: Render | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                         text_col: str = "text", loss_role: str = "assistant", window: int = 64) -> DataFrame:
+                         text_col: str = "text", loss_role: str = "assistant", window: int | None = None) -> DataFrame:
     """``conv_id, piece, offset, formatted, spans``: a conversation's formatted text is its pieces in order, ``offset`` is
     where a piece starts in it. ``spans`` has ``role, start, end, text_start, text_end, stable, loss`` of each turn, in
-    code points of the whole conversation. Rows of a conversation are in one partition, in order."""
+    code points of the whole conversation. Rows of a conversation are in one partition, in order. ``window`` declares the
+    template local; without it a conversation is one piece. The default template is local, in windows of 64 turns."""
     render = template or TurnTemplate()
+    window = window or (64 if template is None else None)
     span = "array<struct<role: string, start: long, `end`: long, text_start: long, text_end: long, stable: boolean, loss: boolean>>"
     schema = T.StructType([T.StructField("conv_id", turns.schema[conv_col].dataType), T.StructField("piece", T.LongType()), T.StructField("offset", T.LongType()),
                            T.StructField("formatted", T.StringType()), *T.StructType.fromDDL(f"spans {span}").fields])
@@ -135,10 +140,10 @@ def format_conversations(turns: DataFrame, template: Render | None = None, conv_
                 yield batch
 
         for first, conv, before, messages in conversations(typed(), window):
-            prologue = render([]) if first else ""
+            prologue = render([]) if first and window else ""
             if first:
                 piece = offset = 0
-            body, spans = locate(render, before, messages, probes)
+            body, spans = locate(render, before, messages, probes, window is None)
             at = offset + len(prologue)
             rows = [{"role": role, "start": at + a, "end": at + b, "text_start": at + c, "text_end": at + d, "stable": ok, "loss": ok and role == loss_role}
                     for (role, _), (a, b, c, d, ok) in zip(messages, spans)]

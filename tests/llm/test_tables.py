@@ -239,3 +239,21 @@ def test_chat(spark):
     pieces = chat.format_conversations(df.filter("conv_id = 3"), Forgetful()).collect()
     assert any(not s["stable"] for p in pieces for s in p.spans) and all(not (s["loss"] and not s["stable"]) for p in pieces for s in p.spans)
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_chat_templates_see_true_prefixes(spark):
+    class Forgetful(chat.TurnTemplate):
+        def __call__(self, messages):
+            return chat.TurnTemplate.__call__(self, [(r, t if k == len(messages) - 1 else t[:3]) for k, (r, t) in enumerate(messages)])
+
+    def numbered(messages):
+        return "".join(f"({t})" for _, t in messages[:1]) + "".join(f"{k}.{messages[0][1]}.{r}:{t};" for k, (r, t) in enumerate(messages))
+
+    said = [(("user", "assistant")[k % 2], f"turn {k} of many") for k in range(130)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string")
+    (piece,) = chat.format_conversations(df, Forgetful()).collect()
+    assert piece.formatted == Forgetful()(said) and not any(s["stable"] or s["loss"] for s in piece.spans)
+    (piece,) = chat.format_conversations(df, numbered).collect()
+    assert piece.formatted == numbered(said) and len(piece.spans) == 130
+    for (_, text), s in list(zip(said, piece.spans))[1:]:
+        assert s["stable"] and piece.formatted[s["text_start"] : s["text_end"]] == text
