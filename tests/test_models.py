@@ -3,7 +3,7 @@
 import time
 
 import numpy as np
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from packetloom.operators import models as M

@@ -1,7 +1,7 @@
 """Every order-dependent operator gives the same rows when its groups are cut into runs."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from packetloom.operators import aggregates as A

@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from packetloom.functions import scalars as S
 from packetloom.operators import models as M
 from packetloom.operators import windows as W
