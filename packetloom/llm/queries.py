@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, egrid, jaccard, licenses, mixing, packing, pii, quality, secrets, toxicity
+from packetloom.llm import chat, egrid, jaccard, licenses, mixing, packing, periods, pii, quality, secrets, toxicity
 from packetloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: The tokenizer of the packing query; a parameter of the operator.
@@ -125,3 +125,16 @@ def op2(spark, sf_dir):
 @query("op8_license_scan")
 def op8(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    runs, best = F.col("runs"), F.col("best")
+    lines = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size(runs) == 0, "").otherwise(F.concat(F.array_join(lines, "\n"), F.lit("\n")))
+    found = periods.periodic_runs(periods.planted(docs)).withColumn("best", periods.strongest(runs))
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
