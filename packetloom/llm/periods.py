@@ -44,7 +44,7 @@ _NEVER = np.uint64(2**64 - 1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_ODD, np.uint64(pow(int(_ODD), -1, 2**64)))):
             table = np.full(2 * n, base, np.uint64)
@@ -53,11 +53,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-class _Substrings:
+class Substrings:
     """Hashes of all substrings of an array of symbols."""
 
     def __init__(self, x: np.ndarray):
-        powers, self.inverse = _power_tables(len(x) + 1)
+        powers, self.inverse = power_tables(len(x) + 1)
         self.sums = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(mix(x.astype(np.uint64) + _ODD) * powers[: len(x)], out=self.sums[1:])
 
@@ -75,7 +75,7 @@ def _stretches(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hits[np.r_[0, cut + 1]], hits[np.r_[cut, len(hits) - 1]]
 
 
-def _extend(text: _Substrings, n: int, one: np.ndarray, two: np.ndarray, forward: bool, longest: int) -> np.ndarray:
+def _extend(text: Substrings, n: int, one: np.ndarray, two: np.ndarray, forward: bool, longest: int) -> np.ndarray:
     """How far the words from ``one`` and ``two`` on (or before them) are the same, by halving steps."""
     done = np.zeros(len(one), np.int64)
     step = 1 << max(longest, 1).bit_length()
@@ -90,7 +90,7 @@ def _extend(text: _Substrings, n: int, one: np.ndarray, two: np.ndarray, forward
     return done
 
 
-def _synchronising(text: _Substrings, n: int, t: int, runs: dict) -> np.ndarray:
+def _synchronising(text: Substrings, n: int, t: int, runs: dict) -> np.ndarray:
     """Chosen positions at scale ``t`` in the first ``n`` symbols."""
     ids = mix(text.each(t, n)) >> np.uint64(1)
     for (start, end), period in runs.items():
@@ -105,7 +105,7 @@ def _synchronising(text: _Substrings, n: int, t: int, runs: dict) -> np.ndarray:
     return np.flatnonzero((least != _NEVER) & ((least == ids[:m]) | (least == ids[t : t + m])))
 
 
-def _proposals(text: _Substrings, chosen: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+def _proposals(text: Substrings, chosen: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and distances of equal contexts between ``3t`` and ``6t`` apart."""
     context = text.at(chosen, 2 * t)
     order = np.argsort(context, kind="stable")
@@ -138,7 +138,7 @@ def runs_of(x: np.ndarray, sizes: list[int]) -> dict[tuple[int, int], int]:
             for s, e in zip(first[long].tolist(), (last[long] + 1 + p).tolist()):
                 runs.setdefault((s, e), p)
     t, sizes_ = BASE, np.array(sizes, np.int64)
-    text = _Substrings(x) if len(sizes) and sizes[0] >= 9 * t else None
+    text = Substrings(x) if len(sizes) and sizes[0] >= 9 * t else None
     while len(sizes) and sizes[0] >= 9 * t:
         n = int((sizes_[sizes_ >= 9 * t] + 1).sum())
         chosen = _synchronising(text, n, t, runs)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, egrid, jaccard, licenses, mixing, packing, periods, pii, quality, secrets, toxicity
+from packetloom.llm import chat, egrid, jaccard, licenses, mixing, packing, periods, phrases, pii, quality, secrets, toxicity
 from packetloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: The tokenizer of the packing query; a parameter of the operator.
@@ -138,3 +138,8 @@ def op13(spark, sf_dir):
         "doc_id", F.size(runs).cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+@query("op12_phrase_fingerprint")
+def op12(spark, sf_dir):
+    return phrases.edit_likeness(table(spark, sf_dir, "documents"))
