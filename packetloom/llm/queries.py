@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, egrid, jaccard, licenses, mixing, packing, periods, phrases, pii, quality, secrets, toxicity
+from packetloom.llm import chat, egrid, jaccard, licenses, mixing, packing, periods, phrases, pii, quality, secrets, toxicity, trie
 from packetloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: The tokenizer of the packing query; a parameter of the operator.
@@ -143,3 +143,34 @@ def op13(spark, sf_dir):
 @query("op12_phrase_fingerprint")
 def op12(spark, sf_dir):
     return phrases.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+SQL_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)), 4294967295::bigint)"""
+
+SQL_OP11 = f"""
+with t as (select conv_id, turn, md5(concat(length(coalesce(role, ''))::varchar, ':', coalesce(role, ''), coalesce(text, ''))) as token,
+                  strlen(coalesce(text, ''))::bigint as bytes from conversations where conv_id is not null),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, token) as pos from t),
+c as (select conv_id, {SQL_CRC32} % 9 as h from (select distinct conv_id from t)),
+r0 as (select c.conv_id, 0 as own, pos, token, bytes from c join o on o.conv_id = c.conv_id - c.conv_id % 5 and pos <= h
+       union all select conv_id, 1, pos, token, bytes from o join c using (conv_id) where pos > h),
+r as (select conv_id, row_number() over (partition by conv_id order by own, pos) as depth, token, bytes from r0),
+p as (select conv_id, depth, bytes, md5(string_agg(token, '') over (partition by conv_id order by depth)) as name from r
+      union all select conv_id, 0, 0, 'root' from c),
+n as (select name, min(conv_id) as conv_id, max(depth)::bigint as depth, count(*) as n_convs, max(bytes) as bytes from p group by name),
+e as (select name, string_agg(conv_id::varchar, ',' order by conv_id) as ids
+      from p join (select conv_id, max(depth) as depth from p group by conv_id) using (conv_id, depth) group by name),
+q as (select n.*, p.name as parent from n left join p on p.conv_id = n.conv_id and p.depth = n.depth - 1),
+k as (select parent as name, count(*) as n_children from q where parent is not null group by parent),
+w as (select q.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * bytes as saved from q left join k using (name)),
+s as (select p.name, count(*) filter (n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens
+      from w join p on p.conv_id = w.conv_id and p.depth <= w.depth group by p.name)
+select w.conv_id, w.depth, u.conv_id as parent_conv_id, w.n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from w join s using (name) left join n u on u.name = w.parent left join e on e.name = w.name"""
+
+
+@query("op11_prefix_trie", SQL_OP11)
+def op11(spark, sf_dir):
+    own = trie.turns(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.regrown(own, F.crc32(F.col("conv_id").cast("string")) % 9))
