@@ -3,9 +3,8 @@
 Finite-state folds (connections, threat levels, consumed correlations) run on any key size: a
 hot key is cut into runs, each run is summarised as a map from entry state to exit state, the
 maps are chained over the few runs of that key, and the runs replay from their entry state.
-Folds over real-valued state stream a group through sorted partitions batch by batch. They are
-meant for series of one value per window, whose length is bounded by time; where a pause
-provably resets the state, the group is cut at its pauses first.
+Folds over real-valued state (``runs``) cut a hot key in the same way: their runs are put together by transfer maps,
+by speculation or by pointer doubling.
 """
 
 from __future__ import annotations
@@ -20,24 +19,12 @@ from pyspark.sql import functions as F
 from packetloom.functions import scalars as S
 from packetloom.operators.joins import alert_arrivals, matched, within
 from packetloom.operators.ordered import _PART, OrderedGroups, Running, ranked_values
+from packetloom.operators.runs import (
+    ClampedSmoothing, SmoothedMoments, TokenUnits, fold_rows, fold_runs, kept_at_intervals, sorted_by_group, with_fields)
 
 SECOND = 1_000_000
 
 
-def _group_key(keys: list[str]) -> Column:
-    """One string per group, for comparing neighbours inside a sorted partition."""
-    return F.concat_ws("\x1f", F.lit(""), *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
-
-
-def _sorted_by_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    df = df.withColumn("_g", _group_key(keys))
-    return df.repartition("_g").sortWithinPartitions("_g", *order)
-
-
-def _with_fields(df: DataFrame, extra: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [extra])
-
-
 # ---- finite automata --------------------------------------------------------------------------
 
 def _replay(table):
@@ -107,16 +94,16 @@ def run_automaton(df, keys, order, symbol: Column, table, start: int = 0, hot_ro
         crossing = groups._runs({"_n": F.count(F.lit(1))}).drop("_n")
         part_of = groups._join_carry(rows, crossing.withColumn("_crosses", F.lit(True)))
         part_of = part_of.filter("_crosses").select(*run_keys, *order, "_symbol")
-        maps = _sorted_by_group(part_of, run_keys, order)
+        maps = sorted_by_group(part_of, run_keys, order)
         kinds = {f.name: f.dataType.simpleString() for f in part_of.schema.fields}
         shape = ", ".join(f"`{k}` {kinds[k]}" for k in run_keys)
         maps = maps.mapInPandas(_summarise(table, run_keys), f"{shape}, _exits array<bigint>")
-        chained = _sorted_by_group(maps, keys, [_PART])  # a few rows per partition of df
+        chained = sorted_by_group(maps, keys, [_PART])  # a few rows per partition of df
         entries = chained.mapInPandas(_chain(start), f"{shape}, _g string, _entry int").drop("_g")
         rows = groups._join_carry(rows, entries)
         entry = F.coalesce("_entry", entry)
-    rows = _sorted_by_group(rows.withColumn("_entry", entry), run_keys, order)
-    out = rows.mapInPandas(_replay(table), _with_fields(rows, "state_before int, state_after int"))
+    rows = sorted_by_group(rows.withColumn("_entry", entry), run_keys, order)
+    out = rows.mapInPandas(_replay(table), with_fields(rows, "state_before int, state_after int"))
     return out.drop("_g", "_entry", "_symbol", _PART)
 
 
@@ -348,44 +335,9 @@ def correlate_consume(rules, ml, window_us: int = 30 * SECOND, hot_rows=None, pa
 
 # ---- real-valued folds --------------------------------------------------------------------------
 
-def fold_rows(df, keys, order, inputs, start, step, outputs: str) -> DataFrame:
-    """Fold each group in order: ``step(state, *inputs) -> (state, outputs)``; ``start()`` opens
-    a group. Groups stream through sorted partitions; nothing but the state is kept."""
-    names = [o.split()[0] for o in outputs.split(", ")]
-    rows = _sorted_by_group(df, list(keys), list(order))
-
-    def walk(batches):
-        group, state = None, None
-        for pdf in batches:
-            out = []
-            for g, *values in zip(pdf["_g"].tolist(), *[pdf[c].tolist() for c in inputs]):
-                if g != group:
-                    group, state = g, start()
-                state, result = step(state, *values)
-                out.append(result)
-            columns = list(zip(*out)) if out else [[] for _ in names]
-            yield pdf.assign(**{n: list(c) for n, c in zip(names, columns)})
-
-    return rows.mapInPandas(walk, _with_fields(rows, outputs)).drop("_g")
-
-
-def _cut_at_pauses(df, keys, order, ts, pause_us: int, hot_rows, parts) -> DataFrame:
-    groups = OrderedGroups(df, keys, order, hot_rows, parts).previous(_before=F.col(ts))
-    fresh = F.when(F.col(ts) - F.col("_before") < pause_us, 0).otherwise(1)
-    return groups.running(_island=Running("sum", fresh)).df.drop("_before")
-
-
 def cooldown(alerts, keys, seconds: float, order=("ts_us", "seq"), hot_rows=None, parts=None) -> DataFrame:
     """Keep an alert only when the last kept one of its key is at least ``seconds`` older."""
-    wait, order = int(seconds * SECOND), list(order)
-
-    def step(last, ts):
-        keep = last is None or ts - last >= wait
-        return (ts if keep else last), (keep,)
-
-    cut = _cut_at_pauses(alerts, keys, order, order[0], wait, hot_rows, parts)
-    kept = fold_rows(cut, [*keys, "_island"], order, [order[0]], lambda: None, step, "_keep boolean")
-    return kept.filter("_keep").drop("_keep", "_island")
+    return kept_at_intervals(alerts, keys, order, int(seconds * SECOND), hot_rows, parts).filter("_keep").drop("_keep")
 
 
 def ewma_step(alpha: float = 0.1, warmup: int = 20, against: str = "updated"):
@@ -419,15 +371,13 @@ def ewma_zscore(series, alpha: float = 0.1, warmup: int = 20, against: str = "up
     """Smoothed mean and deviation of (metric, ts_us, value), and the z-score of each value.
 
     The first ``warmup`` values set the baseline. ``against='prior'`` compares with the
-    baseline before the value was absorbed. The smoothing forgets, so a long series is cut
-    into chunks that start far enough back for the old baseline to have faded out.
+    baseline before the value was absorbed. A long series is cut into runs, whose effect on mean and
+    variance is an affine map and a quadratic form; the runs are chained and replayed.
     """
-    fade = math.ceil(math.log(1e-17) / math.log(1 - alpha))
-    groups = OrderedGroups(series, ["metric"], ["ts_us"], hot_rows, parts)
-    rows = groups.over_last(fade, lambda w: {}, keep_chunks=True)
-    out = fold_rows(rows, ["metric", "_chunk"], ["ts_us"], ["_rn", "value"], lambda: None, ewma_step(alpha, warmup, against),
-                    "mean double, std double, z double")
-    return out.filter("_own").drop("_chunk", "_own", "_rn")
+    groups = OrderedGroups(series, ["metric"], ["ts_us"], hot_rows, parts).numbered("_rn")
+    out = fold_runs(groups, ["metric"], ["ts_us"], ["_rn", "value"], lambda: None, ewma_step(alpha, warmup, against),
+                    "mean double, std double, z double", SmoothedMoments(alpha, warmup))
+    return out.drop("_rn")
 
 
 def ewma_alerts(zscores, threshold: float = 3.0, cooldown_s: float = 10.0, hot_rows=None, parts=None) -> DataFrame:
@@ -448,26 +398,27 @@ def ewma_baselines(zscores: DataFrame, warmup: int = 20) -> DataFrame:
 
 
 def page_hinkley(scores, keys=("detector",), delta=0.01, threshold=10.0, alpha=0.01, cooldown_s: float = 0.0,
-                 order=("ts_us",)) -> DataFrame:
+                 order=("ts_us",), hot_rows=None, parts=None) -> DataFrame:
     """Gradual mean shift: alert when the summed deviation climbs ``threshold`` over its
-    minimum, then start again. Inside the cooldown neither happens."""
+    minimum, then start again. Inside the cooldown neither happens.
+
+    The height over the minimum is all that is kept of the sum, so that runs of a cut key that start from a guess
+    meet the true course at the next minimum or alert.
+    """
     wait = int(cooldown_s * SECOND)
 
     def step(state, ts, x):
-        n, mean, total, low, alerted = state
-        n += 1
-        if n == 1:
-            return (1, x, 0.0, 0.0, alerted), (0.0, False)
+        mean, height, alerted = state
+        if mean is None:
+            return (x, 0.0, alerted), (0.0, False)
         mean = alpha * x + (1 - alpha) * mean
-        total += x - mean - delta
-        low = min(low, total)
-        deviation = total - low
-        if deviation > threshold and (alerted is None or ts - alerted >= wait):
-            return (0, 0.0, 0.0, 0.0, ts), (deviation, True)
-        return (n, mean, total, low, alerted), (deviation, False)
+        height = max(0.0, height + (x - mean - delta))
+        if height > threshold and (alerted is None or ts - alerted >= wait):
+            return (None, 0.0, ts), (height, True)
+        return (mean, height, alerted), (height, False)
 
-    return fold_rows(scores, list(keys), list(order), [order[0], "score"], lambda: (0, 0.0, 0.0, 0.0, None), step,
-                     "deviation double, drift boolean")
+    return fold_runs(scores, list(keys), list(order), [order[0], "score"], lambda: (None, 0.0, None), step,
+                     "deviation double, drift boolean", None, hot_rows, parts)
 
 
 def values_at(df, value: str, wanted, position: Column, name: str, hot_rows=None, parts=None) -> DataFrame:
@@ -505,8 +456,8 @@ def adaptive_contamination(predictions, training, initial=0.1, alpha=0.15, low=0
         new = max(low, min(high, alpha * rate + (1 - alpha) * c))
         return new, (c, new)
 
-    out = fold_rows(updates, keys, ["n"], ["detection_rate"], lambda: initial, step,
-                    "old_contamination double, contamination double")
+    out = fold_runs(updates, keys, ["n"], ["detection_rate"], lambda: initial, step,
+                    "old_contamination double, contamination double", ClampedSmoothing(alpha, low, high), groups.split, parts)
     return values_at(training, "score", out, (F.col("_n") - 1) * (1 - F.col("contamination")), "threshold", hot_rows, parts)
 
 
@@ -552,25 +503,22 @@ def dynamic_pvalue(streaks, confirm: int = 3, size: int = 1000, chunk_rows: int
 
 def bucket_step(rate: float = 10.0, burst: int = 20):
     """``step(state, ts) -> (state, (allowed, tokens))``; the first event leaves burst - 1."""
-    def step(state, ts):
-        if state is None:
-            return (burst - 1.0, ts), (True, burst - 1.0)
-        tokens = min(float(burst), state[0] + (ts - state[1]) / SECOND * rate)
-        allowed = tokens >= 1.0
-        tokens -= 1.0 if allowed else 0.0
-        return (tokens, ts), (allowed, tokens)
-
-    return step
+    return TokenUnits(rate, burst).step
 
 
 def token_bucket(requests, keys, rate: float = 10.0, burst: int = 20, order=("ts_us", "seq"), hot_rows=None, parts=None) -> DataFrame:
-    """Allow or deny each request. A pause that refills the bucket starts a fresh group."""
-    order = list(order)
+    """Allow or deny each request, counted in whole units of a token (``TokenUnits``).
 
-    refill = math.ceil(burst / rate * SECOND)
-    cut = _cut_at_pauses(requests, keys, order, order[0], refill, hot_rows, parts)
-    return fold_rows(cut, [*keys, "_island"], order, [order[0]], lambda: None, bucket_step(rate, burst),
-                     "allowed boolean, tokens double").drop("_island")
+    A bucket of one token is empty after each allowed request, so there the allowed ones are those at intervals.
+    """
+    units = TokenUnits(rate, burst)
+    if burst == 1:
+        flagged = kept_at_intervals(requests, keys, order, -(-units.one // units.gain), hot_rows, parts)
+        last = Running("last", F.when(F.col("_keep"), F.col(order[0])))
+        run = OrderedGroups(flagged, keys, list(order), hot_rows, parts).running(_last=last).df
+        filled = F.least(F.lit(1.0), (F.col(order[0]) - F.col("_last")) * F.lit(units.gain) / F.lit(units.one))
+        return run.withColumns({"allowed": F.col("_keep"), "tokens": F.when(F.col("_keep"), 0.0).otherwise(filled)}).drop("_keep", "_last")
+    return fold_runs(requests, keys, list(order), [order[0]], lambda: None, units.step, "allowed boolean, tokens double", units, hot_rows, parts)
 
 
 # ---- liveness and eviction ----------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.scalars import sigmoid
-from packetloom.operators.folds import fold_rows
+from packetloom.operators.runs import fold_runs
 from packetloom.operators.ordered import OrderedGroups, Running, order_statistics, percentile_at
 
 SECOND = 1_000_000
@@ -419,7 +419,7 @@ def hybrid_batch(forest: Column, max_z: Column, z_norm: float = 5.0) -> Column:
     return _clip(0.55 * forest + 0.30 * sigmoid(max_z / z_norm * 5.0 - 2.5))
 
 
-def hybrid_score(scores: DataFrame, threshold: float = 0.45, z_norm: float = 5.0, buffer: int = 10) -> DataFrame:
+def hybrid_score(scores: DataFrame, threshold: float = 0.45, z_norm: float = 5.0, buffer: int = 10, hot_rows=None, parts=None) -> DataFrame:
     """Forest score, volume deviation and the rising trend of the flow's own combined scores.
 
     The trend is read before the current score joins the buffer, and what joins is the combined
@@ -440,8 +440,8 @@ def hybrid_score(scores: DataFrame, threshold: float = 0.45, z_norm: float = 5.0
         combined = max(0.0, min(1.0, 0.55 * score + 0.30 * volume + 0.15 * boost))
         return [*state[-(buffer - 1):], (ts, combined)], (volume, boost, combined)
 
-    out = fold_rows(scores, ["flow_key"], ["ts_us", "row_id"], ["ts_us", "score", "max_z"], list, step,
-                    "ewma_component double, temporal_boost double, combined double")
+    out = fold_runs(scores, ["flow_key"], ["ts_us", "row_id"], ["ts_us", "score", "max_z"], list, step,
+                    "ewma_component double, temporal_boost double, combined double", None, hot_rows, parts)
     return out.withColumn("is_anomaly", F.col("combined") >= threshold)
 
 

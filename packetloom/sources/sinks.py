@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import scalars as S
 from packetloom.functions.names import severity_label, stix_confidence
-from packetloom.operators.folds import fold_rows
+from packetloom.operators.runs import fold_rows
 from packetloom.operators.ordered import OrderedGroups
 from packetloom.session import durable
 

@@ -76,6 +76,10 @@ CASES = {
     "conformal": lambda s, d, **k: M.conformal_pvalues(scores(s, d).filter("y = 0"), scores(s, d), **k),
     "ks": lambda s, d, **k: M.ks_drift(scores(s, d).filter("y = 0"), scores(s, d).filter("y = 1"), **k),
     "contamination_threshold": lambda s, d, **k: E.contamination_threshold(scores(s, d), **k),
+    "ewma": lambda s, d, **k: X.ewma_zscore(lone_scores(s, d).drop("row_id"), **k),
+    "ewma_prior": lambda s, d, **k: X.ewma_zscore(lone_scores(s, d).drop("row_id"), 0.02, 7, "prior", **k),
+    "hinkley": lambda s, d, **k: X.page_hinkley(scores(s, d).withColumnRenamed("flow_key", "detector"), ("detector",), 0.001, 0.4, 0.05, 40.0, ("ts_us", "row_id"), **k),
+    "hybrid": lambda s, d, **k: M.hybrid_score(scores(s, d).withColumn("max_z", F.col("score") * 4), **k),
     "chain": lambda s, d, **k: K.audit_chain(B.alerts(s, d).select(F.lit("log").alias("log_id"), "ts_us", F.col("alert_id").alias("row_id"), F.col("description").alias("payload")), "g", 50, **k),
 }
 
@@ -95,14 +99,6 @@ def test_small_chunks_of_a_cut_group(spark, sf):
     assert rows(plain) == rows(cut)
 
 
-def test_smoothing_forgets_across_chunks(spark, sf, monkeypatch):
-    from packetloom.operators import ordered
-
-    monkeypatch.setattr(ordered, "CHUNK_ROWS", 100)
-    series = lone_scores(spark, sf).drop("row_id")
-    assert rows(X.ewma_zscore(series, hot_rows=False)) == rows(X.ewma_zscore(series, hot_rows=True, parts=4))
-
-
 def test_automatic_check_finds_the_hot_group(spark, sf):
     df = packets(spark, sf)
     assert OrderedGroups(df, ["src_ip"], ["ts_us", "pkt_id"], 100).split
