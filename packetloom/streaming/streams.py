@@ -18,6 +18,7 @@ from packetloom.functions import scalars as S
 from packetloom.operators import aggregates as A
 from packetloom.operators import folds as X
 from packetloom.operators.models import Forest, score_forest, with_vector
+from packetloom.streaming.keyed import OrderedFold
 
 SECOND = 1_000_000
 
@@ -66,38 +67,27 @@ def stream_score(features: DataFrame, stats: dict[str, tuple[float, float]], for
 # ---- keyed state --------------------------------------------------------------------------------------
 
 
-def stream_fold(df: DataFrame, keys: list[str], inputs: list[str], step, outputs: str, ttl_s: int = 600, delay: str = "10 seconds",
-                order: tuple = ("ts_us",)) -> DataFrame:
-    """Fold every key in time order across micro-batches; the same ``step`` as in batch.
+def stream_fold(df: DataFrame, keys: list[str], inputs: list[str], step, outputs: str, state: str, pack=None, unpack=None, ttl_s: int = 600,
+                delay: str = "10 seconds", order: tuple = ("ts_us",), late: bool = False, silence_s: int | None = None, silent=None) -> DataFrame:
+    """Fold every key in event-time order across micro-batches; the same ``step`` as in batch.
 
-    State is a small JSON value per key that expires ``ttl_s`` after the key's last event.
-    Rows of one micro-batch are ordered by ``order``. ``ts`` passes through for downstream
-    windows; the first input may be ``_position``, the count of the key's rows so far.
+    Rows wait in a list state until the watermark has passed their second, then they are folded by ``order``, wherever
+    and whenever they arrived. ``state`` is the schema of what is kept of a key; ``pack`` and ``unpack`` turn a step's state into its fields
+    and back (by default a single field). A key that was silent for ``ttl_s`` is forgotten. The first input may be ``_position``, the count of the
+    key's rows so far. A row whose second is closed already is not folded: with ``late`` it comes out as it is, marked in a
+    column ``late``, for ``with_dead_letters``. ``silent(state) -> (state, outputs)`` is asked once a key has had no row
+    for ``silence_s``; its outputs, if any, come out with the key alone.
     """
-    source = timed(df, delay)
-    fields = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    carried = [*keys, *[c for c in dict.fromkeys([*order, *inputs]) if c not in keys and c != "_position"]]
-    shape = ", ".join([f"`{c}` {fields[c]}" for c in carried] + [outputs])
+    source = df.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay).drop("ts")  # so that late rows reach the processor
+    fields = {f.name: f.dataType for f in source.schema.fields}
+    carried = [*keys, *[c for c in dict.fromkeys([*order, *inputs, "ts_us"]) if c not in keys and c != "_position"]]
+    kinds = ", ".join(f"`{c}` {fields[c].simpleString()}" for c in carried)
     names = [o.split()[0] for o in outputs.split(", ")]
-
-    def update(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        position, folded = json.loads(state.get[0]) if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values(list(order))
-        out = []
-        for record in rows[carried].to_dict("records"):
-            position += 1
-            values = [position if c == "_position" else record[c] for c in inputs]
-            folded, result = step(folded, *values)
-            out.append({**record, **dict(zip(names, result))})
-        state.update((json.dumps([position, folded]),))
-        last = int(rows["ts_us"].max() // 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_s * 1000)
-        yield pd.DataFrame(out, columns=[*carried, *names])
-
-    return source.groupBy(*keys).applyInPandasWithState(update, shape, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    whole = frozenset(c for c in carried if fields[c].typeName() in ("integer", "long", "short", "byte"))
+    fold = OrderedFold(carried, kinds, whole, inputs, names, step, list(order), state, pack or (lambda s: (s,)), unpack or (lambda t: t[0]), ttl_s,
+                       silence_s, silent)
+    rows = source.select(*carried).groupBy(*keys).transformWithStateInPandas(fold, f"{kinds}, {outputs}, late boolean", "Append", "EventTime")
+    return rows if late else rows.filter("not late").drop("late")
 
 
 def stream_correlated(rules: DataFrame, ml: DataFrame, window_s: int = 30, consume: bool = False, **kw) -> DataFrame:
@@ -120,7 +110,9 @@ def stream_correlated(rules: DataFrame, ml: DataFrame, window_s: int = 30, consu
 
     run = stream_fold(r.unionByName(m), ["flow_key"], ["kind", "ts_us", "strength", "category", "detector_type"], step,
                       "rule_ts_us bigint, rule_category string, rule_confidence double, ml_ts_us bigint, ml_score double, ml_detector string",
-                      order=("ts_us", "kind", "seq"), **kw)
+                      "r_ts bigint, r_strength double, r_name string, m_ts bigint, m_strength double, m_name string",
+                      lambda two: sum([one or [None] * 3 for one in two], []),
+                      lambda t: [None if one[0] is None else list(one) for one in (t[:3], t[3:])], order=("ts_us", "kind", "seq"), **kw)
     hits = run.filter("rule_ts_us is not null and ml_ts_us is not null")
     return hits.select("flow_key", "ts_us", "kind", "seq", "rule_ts_us", F.col("rule_category").alias("category"), "rule_confidence", "ml_ts_us", "ml_score",
                        F.col("ml_detector").alias("detector_type"), S.joint_confidence(F.col("rule_confidence"), F.col("ml_score")).alias("joint_confidence"))
@@ -140,8 +132,8 @@ def _automaton_step(table, start: int = 0):
 def stream_threat_levels(scores: DataFrame, **kw) -> DataFrame:
     s = F.col("score")
     symbol = F.when(s < 0.25, 0).when(s < 0.35, 1).when(s < 0.55, 2).when(s < 0.75, 3).otherwise(4)
-    run = stream_fold(scores.withColumn("symbol", symbol), ["flow_key"], ["symbol"], _automaton_step(X._level_table()),
-                      "state_before int, state_after int", order=("ts_us", "row_id"), **kw)
+    run = stream_fold(scores.select("flow_key", "ts_us", "row_id", symbol.alias("symbol")), ["flow_key"], ["symbol"], _automaton_step(X._level_table()),
+                      "state_before int, state_after int", "code int", order=("ts_us", "row_id"), **kw)
     names = F.array(*[F.lit(n) for n in X.LEVELS])
     return run.select("flow_key", "ts_us", "row_id", F.element_at(names, F.floor(F.col("state_before") / 12).cast("int") + 1).alias("from_level"),
                       F.element_at(names, F.floor(F.col("state_after") / 12).cast("int") + 1).alias("to_level"))
@@ -163,17 +155,19 @@ def stream_tcp_states(packets: DataFrame, idle_us: int = 300 * SECOND, **kw) ->
         return [state, int(ts)], result
 
     run = stream_fold(p, ["ip_low", "port_low", "ip_high", "port_high"], ["ts_us", "symbol"], step,
-                      "state_before int, state_after int", order=("ts_us", "pkt_id"), ttl_s=idle_us // SECOND, **kw)
+                      "state_before int, state_after int", "code int, last bigint", tuple, list, order=("ts_us", "pkt_id"), ttl_s=idle_us // SECOND, **kw)
     names = F.array(*[F.lit(n) for n in X.CONNECTION_STATES])
     return run.withColumn("state", F.element_at(names, F.col("state_after") + 1)).drop("symbol", "state_before", "state_after")
 
 
 def stream_ewma(series: DataFrame, alpha: float = 0.1, warmup: int = 20, **kw) -> DataFrame:
-    return stream_fold(series, ["metric"], ["_position", "value"], X.ewma_step(alpha, warmup), "mean double, std double, z double", **kw)
+    return stream_fold(series, ["metric"], ["_position", "value"], X.ewma_step(alpha, warmup), "mean double, std double, z double",
+                       "n bigint, mean double, var double, seen array<double>", tuple, list, **kw)
 
 
 def stream_token_bucket(requests: DataFrame, keys: list[str], rate: float = 10.0, burst: int = 20, **kw) -> DataFrame:
-    return stream_fold(requests, keys, ["ts_us"], X.bucket_step(rate, burst), "allowed boolean, tokens double", order=("ts_us", "seq"), **kw)
+    return stream_fold(requests, keys, ["ts_us"], X.bucket_step(rate, burst), "allowed boolean, tokens double",
+                       "units bigint, last bigint", tuple, list, order=("ts_us", "seq"), **kw)
 
 
 def stream_flag_replays(envelopes: DataFrame, max_skew_us: int = 30 * SECOND, **kw) -> DataFrame:
@@ -183,17 +177,36 @@ def stream_flag_replays(envelopes: DataFrame, max_skew_us: int = 30 * SECOND, **
         return (int(seq) if verdict == "ACCEPTED" else high), (verdict,)
 
     e = envelopes.withColumnRenamed("recv_ts_us", "ts_us")
-    return stream_fold(e, ["sender_id"], ["ts_us", "seq", "sent_ts_us"], step, "verdict string", order=("ts_us", "env_id"), **kw)
+    return stream_fold(e, ["sender_id"], ["ts_us", "seq", "sent_ts_us"], step, "verdict string", "high bigint", order=("ts_us", "env_id"), **kw)
 
 
 def stream_value_change(df: DataFrame, keys: list[str], value: str, order: tuple, **kw) -> DataFrame:
     def step(last, now):
         return now, (last, last is not None and last != now)
 
-    run = stream_fold(df, keys, [value], step, "previous_value string, changed boolean", order=order, **kw)
+    run = stream_fold(df, keys, [value], step, "previous_value string, changed boolean", "last string", order=order, **kw)
     return run.filter("changed").drop("changed")
 
 
+def stream_node_liveness(heartbeats: DataFrame, timeout_s: int = 15, **kw) -> DataFrame:
+    """ONLINE and OFFLINE of every sensor as they happen: a timer a sensor reports its silence although nothing arrives."""
+    def step(state, ts, uptime, sent):
+        last, online = (None, False) if state is None else state
+        back = last is None or not online or ts - last > timeout_s * SECOND
+        gone = back and online
+        events = ([{"status": "OFFLINE", "at_us": last + timeout_s * SECOND}] if gone else []) + ([{"status": "ONLINE", "at_us": ts}] if back else [])
+        return [ts, True], (json.dumps(events),)
+
+    def silent(state):
+        last, online = state
+        return ([last, False], (json.dumps([{"status": "OFFLINE", "at_us": last + timeout_s * SECOND}]),)) if online else (state, None)
+
+    run = stream_fold(heartbeats, ["node_id"], ["ts_us", "uptime", "packets_sent"], step, "events string", "last bigint, online boolean", tuple, list,
+                      order=("ts_us", "packets_sent"), silence_s=timeout_s, silent=silent, **kw)
+    events = F.from_json("events", "array<struct<status: string, at_us: bigint>>")
+    return run.select("node_id", F.inline(events))
+
+
 def stream_flow_features(packets: DataFrame, seconds: int = 30, min_packets: int = 2, delay: str = "10 seconds") -> DataFrame:
     """Flow features per conversation and tumbling window, emitted when the window closes.
 
@@ -270,15 +283,41 @@ def read_metrics(spark, path: str) -> DataFrame:
     return partial.groupBy("second", "protocol").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
 
 
+def with_dead_letters(stream: DataFrame, path: str, late_path: str, checkpoint: str):
+    """Write a fold made with ``late=True``: folded rows to ``path``, late ones to ``late_path``, both by batch so that a retry replaces
+    its own files; the numbers of both are observed metrics of every batch (``folded``, ``late``)."""
+    def write(batch: DataFrame, epoch: int):
+        kept = batch.persist()
+        kept.filter("not late").drop("late").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        kept.filter("late").drop("late").write.mode("overwrite").parquet(f"{late_path}/epoch={epoch}")
+        kept.unpersist()
+
+    counted = stream.observe("rows", F.count(F.when(~F.col("late"), 1)).alias("folded"), F.count(F.when(F.col("late"), 1)).alias("late"))
+    return counted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def on_transition(levels: DataFrame, hook, checkpoint: str):
     """Call ``hook(DataFrame, epoch)`` with every batch of level changes, e.g. to respond to HOSTILE."""
     changed = levels.filter("from_level <> to_level")
     return changed.writeStream.foreachBatch(hook).option("checkpointLocation", checkpoint)
 
 
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def start(writer):
+    """Start a stream writer with its state in RocksDB, off the executors' heap; the session's own setting comes back afterwards."""
+    conf = writer._spark.conf
+    before = conf.get(ROCKS[0], None)
+    conf.set(*ROCKS)
+    try:
+        return writer.start()
+    finally:
+        conf.unset(ROCKS[0]) if before is None else conf.set(ROCKS[0], before)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain what is available into a Parquet table and return it."""
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    start(stream.writeStream.outputMode(mode).format("parquet").option("path", path).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True)).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
