@@ -156,7 +156,7 @@ def packets_before(packets, alerts, n: int = 200, min_severity: int = 4, hot_row
     return wanted.join(numbers, "rn").select("alert_id", "pkt_id", "ts_us", (F.col("_last") - F.col("rn") + 1).alias("age"))
 
 
-# fixed values: technique references and response actions of the rule categories
+# fixed values: technique references of the rule categories
 MITRE = {
     "PORT_SCAN": "T1046 - Network Service Discovery",
     "SYN_FLOOD": "T1498.001 - DoS: Direct Flood",
@@ -170,37 +170,36 @@ MITRE = {
     "ICMP_TUNNEL": "T1095 - Non-Application Layer Protocol",
     "ICMP_FLOOD": "T1095 - Non-Application Layer Protocol",
 }
-ACTIONS = {
-    "PORT_SCAN": ["Drop traffic of the prober", "Limit new connections to the probed host",
-                  "Look for logins after the scan"],
-    "SYN_FLOOD": ["Turn on SYN cookies", "Limit the SYN rate towards the target",
-                  "Filter the flood upstream", "Tell whoever runs the uplink"],
-    "DNS_TUNNEL": ["Sinkhole the queried domain", "Examine the querying host",
-                   "Log all of its questions"],
-    "DNS_EXFIL": ["Refuse names with overlong labels", "Find out what the host sent"],
-    "DNS_FLOOD": ["Limit questions per client", "See whether the resolver is open to others"],
-    "ARP_SPOOF": ["Inspect ARP on the switches", "Compare the gateway's address with its label",
-                  "Shut the port of the new address", "Call the security desk"],
-    "BRUTE_FORCE": ["Lock the source out for a while", "Lock accounts after some failures",
-                    "Ask for a second factor", "Search the log for a success"],
-    "TTL_ANOMALY": ["Trace the path", "Ask whether a proxy or a trace explains it"],
-    "PROTO_ANOMALY": ["Drop the sender's packets", "Let the firewall check flag combinations"],
-    "ICMP_TUNNEL": ["Refuse large echo payloads", "Search both ends for a tunnel program",
-                    "Limit echo traffic"],
-    "ICMP_FLOOD": ["Limit echo requests per host", "See whether a broadcast address is involved"],
-}
+def category_dimension(spark) -> DataFrame:
+    return literal_table(spark, list(MITRE.items()), "category string, mitre_ref string")
 
 
-def category_dimension(spark) -> DataFrame:
-    rows = [(c, MITRE[c], "\n".join(ACTIONS[c])) for c in MITRE]
-    return literal_table(spark, rows, "category string, mitre_ref string, actions string").withColumn(
-        "response_actions", F.split("actions", "\n")).drop("actions")
+def response_actions(alerts: DataFrame) -> Column:
+    """What to do about an alert, worked out from its own severity, ends and technique."""
+    have = set(alerts.columns)
+    severity = F.col("severity") if "severity" in have else F.lit(3)
+    source = F.col("source_ip") if "source_ip" in have else F.lit(None).cast("string")
+    dest = F.col("dest_ip") if "dest_ip" in have else F.lit(None).cast("string")
+    port = F.concat(F.lit(":"), F.col("dest_port").cast("string")) if "dest_port" in have else F.lit("")
+    return F.array_compact(F.array(
+        F.concat(F.when(severity >= 4, "contain ").otherwise("watch "), source),
+        F.when(severity >= 3, F.concat(F.lit("examine "), dest, F.coalesce(port, F.lit("")))),
+        F.when(severity >= 5, F.lit("page the officer on duty")),
+        F.concat(F.lit("compare with "), F.split("mitre_ref", " - ")[0])))
 
 
-def with_category_dims(alerts: DataFrame) -> DataFrame:
-    """Add technique, response actions and, where there is a port, its service name."""
-    dim = category_dimension(alerts.sparkSession)
-    out = alerts.join(F.broadcast(dim), "category", "left")  # eleven fixed rows
+def with_category_dims(alerts: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+    """Add technique, response actions and, where there is a port, its service name.
+
+    ``actions`` (category, response_actions) is the caller's own playbook, a row for each category at most.
+    """
+    out = alerts.join(F.broadcast(category_dimension(alerts.sparkSession)), "category", "left")  # eleven fixed rows
+    own = response_actions(out)
+    if actions is not None:
+        playbook = actions.select("category", F.col("response_actions").alias("_planned"))
+        out = out.join(playbook, "category", "left").withColumn("response_actions", F.coalesce("_planned", own)).drop("_planned")
+    else:
+        out = out.withColumn("response_actions", own)
     if "dest_port" in alerts.columns:
         out = out.withColumn("service", service_name(F.col("dest_port")))
     return out

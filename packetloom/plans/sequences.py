@@ -81,11 +81,12 @@ def evidence(spark, d):
 
 @query("join_category_dims", with_("alerts", """select alert_id, category, case category when 'PORT_SCAN' then 'T1046' when 'SYN_FLOOD' then 'T1498.001' when 'DNS_TUNNEL' then 'T1071.004' when 'DNS_EXFIL' then 'T1048.003'
  when 'DNS_FLOOD' then 'T1071.004' when 'ARP_SPOOF' then 'T1557.002' when 'BRUTE_FORCE' then 'T1110' when 'TTL_ANOMALY' then 'T1090.003' when 'PROTO_ANOMALY' then 'T1036' else 'T1095' end as technique,
- case category when 'SYN_FLOOD' then 4 when 'ARP_SPOOF' then 4 when 'BRUTE_FORCE' then 4 when 'PORT_SCAN' then 3 when 'DNS_TUNNEL' then 3 when 'ICMP_TUNNEL' then 3 else 2 end as actions,
+ concat_ws('; ', case when severity >= 4 then 'contain ' else 'watch ' end || source_ip, case when severity >= 3 then 'examine ' || dest_ip || ':' || dest_port end,
+  case when severity >= 5 then 'page the officer on duty' end, 'compare with ' || technique) as actions,
  case dest_port when 21 then 'FTP' when 22 then 'SSH' when 23 then 'Telnet' else dest_port::varchar end as service from alerts"""))
 def dims(spark, d):
     return J.with_category_dims(B.alerts(spark, d)).select(
-        "alert_id", "category", F.split("mitre_ref", " - ")[0].alias("technique"), F.size("response_actions").alias("actions"), "service")
+        "alert_id", "category", F.split("mitre_ref", " - ")[0].alias("technique"), F.array_join("response_actions", "; ").alias("actions"), "service")
 
 
 @query("join_cipher_suites_left", with_("tls", """select sess_id, cipher_suite in (47,53,60,61,156,157,49171,49172,49191,49192,49199,49200,49161,49162,49187,49188,49195,49196,52392,52393,4865,4866,4867) as known from tls"""))
