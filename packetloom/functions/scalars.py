@@ -110,9 +110,10 @@ def conversation(src_ip="src_ip", src_port="src_port", dst_ip="dst_ip", dst_port
 
 def domain_listed(name: Column, suffixes: list[str], dot_boundary: bool = False) -> Column:
     """True when the lower-cased name ends with a listed suffix."""
-    low = F.lower(name)
-    tests = [low.endswith(s) if not dot_boundary else (low == s) | low.endswith("." + s) for s in suffixes]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+    def tests(low):
+        return reduce(lambda a, b: a | b, [low.endswith(s) if not dot_boundary else (low == s) | low.endswith("." + s) for s in suffixes], F.lit(False))
+
+    return F.exists(F.array(F.lower(name)), tests)  # lower-cased once for all suffixes
 
 
 def dns_labels(name: Column) -> Column:
