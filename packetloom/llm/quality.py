@@ -6,7 +6,8 @@ come first (``base_failed``).
 
 Defined results: a null text counts as empty and fails for having too few words; repeated rows are
 judged separately; an empty table gives an empty result; other columns pass through untouched, and
-columns that clash with a result are replaced.
+columns that clash with a result are replaced. Very long texts and lines are judged whole, in time in proportion to their length:
+each pattern begins only where a stretch of its kind begins, and tries it once.
 """
 
 from __future__ import annotations
@@ -27,14 +28,19 @@ BOILERPLATE = (
     r"subscribe (now|to)|sign up|log ?in\b|share (this|on)|follow us|powered by|©")
 
 
+#: The first and the third in a form for engines that backtrack.
+SYMBOL_ROW_ONCE = r"[#*$%&<>]{2}[\x20\x09]++(?:[^\x20\x09-\x0D]++(?<=[^\x20\x09-\x0D][#*$%&<>]{2})[\x20\x09]++){2}[^\x20\x09-\x0D]"
+SHOUTED_ONCE = r"(?<![\p{Lu}\p{P}])\p{P}*+(?:\p{Lu}[\p{Lu}\p{P}]*+[\x20\x09]++){4}\p{Lu}"
+
+
 def bad_line(line: Column, min_words: int = 5) -> Column:
     """Whether a line (with a word in it) fails a rule."""
-    few = ~line.rlike(rf"({WORD}[\x20\x09-\x0D]+){{{min_words - 1}}}{WORD}")
+    few = ~line.rlike(rf"^[\x20\x09-\x0D]*+(?:{WORD}+[\x20\x09-\x0D]++){{{min_words - 1}}}{WORD}")
     return (
         (few & ~line.rlike(ENDS))
-        | line.rlike(SYMBOL_ROW)
+        | line.rlike(SYMBOL_ROW_ONCE)
         | line.rlike(MENU_ROW)
-        | line.rlike(SHOUTED)
+        | line.rlike(SHOUTED_ONCE)
         | line.rlike(BOILERPLATE))
 
 
