@@ -5,8 +5,9 @@ with an identifier dictionary and the text around it, above the size of an empty
 the surroundings compress to little; a random string costs nearly its entropy and is reported as ``novel``.
 
 Defined results: a null text counts as empty; every match of a repeated row is reported per row; an empty table gives
-an empty result; other columns are not read. Texts are read whole; work is linear in their length, but for unbroken strings
-with many sensitive words inside, which are judged from each of these on.
+an empty result; other columns are not read. Texts are read whole; work is linear in their length. An unbroken string with
+sensitive words inside is judged twice at most: from the first and from the last of them on. ``reach`` (40 characters from a sensitive word
+to a candidate) and ``window`` (400 characters of surroundings on each side) are parameters.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.spans import Span, digest, joined
+from packetloom.llm.spans import Span, Taken, digest, joined
 
 KINDS = ("assign", "access", "hex", "novel")
 # The base patterns.
@@ -94,30 +95,36 @@ def novel(value: str, around: str, least: float) -> bool:
 def novel_spans(text: str, taken: list[Span], reach: int = 40, window: int = 400, least: float = 0.8) -> list[Span]:
     """Candidates within ``reach`` characters after a sensitive word whose marginal size is at least ``least`` of their
     size, primed with ``window`` characters on both sides. Candidates that a base span covers are left to it."""
-    found: list[Span] = []
-    judged: set[int] = set()
     runs = [m.span() for m in CANDIDATE.finditer(text)]
     ends = [b for _, b in runs]
-    done = 0  # what a found candidate covers is not judged again
+    inside: dict[int, list[int]] = {}  # of the sensitive words in a run, the ends of the first and the last
+    starts: dict[int, int] = {}  # where to judge, and up to where
     for word in SENSITIVE.finditer(text) if runs else ():
         for k in range(bisect_right(ends, word.end()), len(runs)):
             a, b = runs[k]
             if a > word.end() + reach:
                 break
             if a < word.end():
-                # the name may go on before the value: SECRET_KEY=...
-                a = word.end()
-                name = NAME.match(text, a, b)
-                a = name.end() if name and b - name.end() >= LEAST else a
-            if b - a < LEAST or a < done or a in judged or any(s < b and a < e for s, _, e in taken):
-                continue
-            judged.add(a)
-            value = text[a:b]
-            # a secret said twice is still one: its own repeats do not count as surroundings
-            around = (text[max(0, a - window) : a] + " " + text[b : b + window]).replace(value, " ")
-            if novel(value, around, least):
-                found.append((a, 3, b))
-                done = b
+                inside[k] = [inside.get(k, [word.end()])[0], word.end()]
+            else:
+                starts[a] = b
+    for k, places in inside.items():
+        for a in places:
+            b = runs[k][1]
+            name = NAME.match(text, a, b)  # the name may go on before the value: SECRET_KEY=...
+            starts[name.end() if name and b - name.end() >= LEAST else a] = b
+    found: list[Span] = []
+    known = Taken(taken)
+    done = 0  # what a found candidate covers is not judged again
+    for a, b in sorted(starts.items()):
+        if b - a < LEAST or a < done or known.touches(a, b):
+            continue
+        value = text[a:b]
+        # a secret said twice is still one: its own repeats do not count as surroundings
+        around = (text[max(0, a - window) : a] + " " + text[b : b + window]).replace(value, " ")
+        if novel(value, around, least):
+            found.append((a, 3, b))
+            done = b
     return found
 
 
