@@ -6,12 +6,14 @@ share of its occurrences in the corpus that good instances follow, an instance b
 that stay good discover identifiers that no fixed pattern matches (kind ``context``).
 
 Defined results: a null text counts as empty; repeated rows are separate; an empty table gives an empty result; other
-columns are not read. Texts are read whole; work is linear in their length.
+columns are not read. Texts are read whole; work is linear in their length, up to a search among a text's spans
+and words, also where one word goes on without end.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.spans import Span, digest, joined
+from packetloom.llm.spans import Span, Taken, digest, joined
 from packetloom.llm.text import LOWER, Words, buffers, chunks, mix
 from packetloom.session import durable
 
@@ -33,6 +35,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DIGIT_WORD = re.compile(r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+")
 #: One linear test for whole batches, implied by every base kind; texts without a hit are clean.
 SCREEN = "[0-9]|@"
 EDGE = "()[]{}<>\"'`,;:!?.|*#"
@@ -76,35 +80,29 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str, taken: list[Span], least_digits: int = 3) -> list[tuple[int, int]]:
     """Words with some digits, without their outer punctuation, that no span touches."""
-    out, done = [], 0
-    for m in re.finditer(r"[0-9]++", text):
-        if m.start() < done:
-            continue
+    out, known = [], Taken(taken)
+    for m in DIGIT_WORD.finditer(text):
         a, b = m.span()
-        while a > 0 and not SPACE.match(text[a - 1]):
-            a -= 1
-        end = SPACE.search(text, b)
-        b = end.start() if end else len(text)
-        done = b
         while a < b and text[a] in EDGE:
             a += 1
         while b > a and text[b - 1] in EDGE:
             b -= 1
-        if b - a >= 5 and sum(c.isdigit() for c in text[a:b]) >= least_digits and not any(s < b and a < e for s, _, e in taken):
+        if b - a >= 5 and sum(c.isdigit() for c in text[a:b]) >= least_digits and not known.touches(a, b):
             out.append((a, b))
     return out
 
 
-def words_before(text: str, at: int, reach: int = 200) -> str:
-    """The two words before the word that ``at`` is in; empty if there are not two, or they are too long."""
-    while at > 0 and not SPACE.match(text[at - 1]):
-        at -= 1
-    lo = max(0, at - reach)
-    words = SPACE.split(text[lo:at].rstrip(" \t\n\v\f\r"))
-    if lo > 0:
-        words = words[1:]
-    words = [w for w in words if w][-2:]
-    return " ".join(words) if len(words) == 2 else ""
+class Contexts:
+    """The two words before the word that a place is in, however long they are; empty if there are not two."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.words = [m.span() for m in WORD.finditer(text)]
+        self.starts = [a for a, _ in self.words]
+
+    def before(self, at: int) -> str:
+        k = bisect_right(self.starts, at) - 1
+        return " ".join(self.text[a:b] for a, b in self.words[k - 2 : k]) if k >= 2 else ""
 
 
 def pair_ids(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +137,10 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     n[k][i] += 1
                 shas[i] = digest(joined(spans, KINDS))
                 base[i] = [{"start": a, "kind": k, "end": b} for a, k, b in sorted(spans)]
-                for a, k, b in spans + [(a, 4, b) for a, b in candidates(text, spans)]:
-                    context = words_before(text, a)
+                others = [(a, 4, b) for a, b in candidates(text, spans)]
+                around = Contexts(text) if spans or others else None
+                for a, k, b in spans + others:
+                    context = around.before(a)
                     if context:
                         found.append((i, k, a, b))
                         contexts.append(context)
