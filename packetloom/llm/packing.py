@@ -5,7 +5,9 @@ the histogram is planned on the driver (its size does not depend on the data) as
 multiplicities, and the pieces take their places by their rank among pieces of the same length.
 
 Defined results: a null or empty text is a piece of the closing id alone; repeated rows are packed
-separately; an empty table gives an empty packing; other columns are not read.
+separately; an empty table gives an empty packing; other columns are not read, whatever their names. A very long text, or a
+very long word in one, is read whole, in time in proportion to it, and cut into full pieces. Pieces of equal length are
+interchangeable and take their places in the order of ids and pieces.
 """
 
 from __future__ import annotations

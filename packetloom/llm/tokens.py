@@ -20,6 +20,8 @@ from packetloom.llm.text import Words, buffers, gather
 
 MEMO = 800_000
 NONE = 1 << 40
+#: Longer words go through the tokenizer: merging many words at once takes a round for each merge of the longest one.
+LONG = 400
 LAST = 0x180
 #: Characters for which lower-casing, composition and white space need the tokenizer's own rules.
 _ODD = r"[^\t-\r -~\x{a1}-\x{12f}\x{131}-\x{148}\x{14a}-\x{17e}]|<\|"
@@ -107,9 +109,12 @@ class WordTokenizer:
         text = words.data.tobytes()
         chunks = [text[a:b].decode() for a, b in zip(words.starts[which].tolist(), words.ends[which].tolist())]
         parts = [(c,) if c.isalpha() else _PIECE.findall(c) for c in chunks]
-        pieces = {p: k for k, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
-        merged = self.merge(list(pieces))
-        ids = [b"".join([merged[pieces[p]] for p in ps]) for ps in parts]
+        pieces = dict.fromkeys(p for ps in parts for p in ps)
+        short = [p for p in pieces if len(p) <= LONG]
+        merged = dict(zip(short, self.merge(short)))
+        for p in pieces.keys() - merged.keys():
+            merged[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = [b"".join([merged[p] for p in ps]) for ps in parts]
         if len(self.known) + len(ids) > MEMO:
             self._forget()
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
