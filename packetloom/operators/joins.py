@@ -106,19 +106,23 @@ def overlaps_any(windows, start: str, end: str, row_id: str, intervals, hot_rows
     return run.filter("_kind = 1").select(*windows.columns, hit.cast("int").alias("y"))
 
 
+RULE_EXTRAS, ML_EXTRAS = ("evidence", "mitre_ref"), ("importances",)
+
+
 def correlated_alerts(rules, ml, window_us: int = 30_000_000, hot_rows=None, parts=None) -> DataFrame:
     """Whenever an alert arrives, pair it with the latest alert of the other kind on the same
     flow, at most ``window_us`` older. ``rules``: flow_key, ts_us, seq, category, confidence;
-    ``ml``: flow_key, ts_us, seq, anomaly_score, detector_type."""
+    ``ml``: flow_key, ts_us, seq, anomaly_score, detector_type. Evidence and technique of a rule's alert (``evidence``,
+    ``mitre_ref``) and the deviations behind a score (``importances``, a map) come along where the tables have them."""
     run = alert_arrivals(rules, ml, hot_rows, parts)
     return matched(run.df.filter(within(window_us)))
 
 
 def alert_arrivals(rules, ml, hot_rows=None, parts=None) -> OrderedGroups:
     r = rules.select("flow_key", "ts_us", F.lit(0).alias("kind"), "seq",
-                     F.struct("ts_us", "category", "confidence").alias("_rule"))
+                     F.struct("ts_us", "category", "confidence", *[c for c in RULE_EXTRAS if c in rules.columns]).alias("_rule"))
     m = ml.select("flow_key", "ts_us", F.lit(1).alias("kind"), "seq",
-                  F.struct("ts_us", "anomaly_score", "detector_type").alias("_ml"))
+                  F.struct("ts_us", "anomaly_score", "detector_type", *[c for c in ML_EXTRAS if c in ml.columns]).alias("_ml"))
     both = r.unionByName(m, allowMissingColumns=True)
     return OrderedGroups(both, ["flow_key"], ["ts_us", "kind", "seq"], hot_rows, parts).running(
         rule=Running("last", F.col("_rule")), ml=Running("last", F.col("_ml")))
@@ -133,7 +137,33 @@ def matched(arrivals: DataFrame) -> DataFrame:
         "flow_key", "ts_us", "kind", "seq", F.col("rule.ts_us").alias("rule_ts_us"), "rule.category",
         F.col("rule.confidence").alias("rule_confidence"), F.col("ml.ts_us").alias("ml_ts_us"),
         F.col("ml.anomaly_score").alias("ml_score"), "ml.detector_type",
-        joint_confidence(F.col("rule.confidence"), F.col("ml.anomaly_score")).alias("joint_confidence"))
+        joint_confidence(F.col("rule.confidence"), F.col("ml.anomaly_score")).alias("joint_confidence"),
+        *[f"{side}.{c}" for side, extras in (("rule", RULE_EXTRAS), ("ml", ML_EXTRAS)) for c in extras
+          if c in arrivals.schema[side].dataType.names])
+
+
+def cross_layer(matches: DataFrame, top: int = 3) -> DataFrame:
+    """Why both layers agree: ``top_evidence`` (the rule's first factors), ``top_features`` (the largest deviations, by size
+    and name) and a readable ``cross_layer`` text. ``matches``: correlated alerts with evidence, technique and importances."""
+    size = lambda e: F.abs(e["value"])
+
+    def larger_first(a, b):
+        return (F.when(size(a) > size(b), -1).when(size(a) < size(b), 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+
+    ranked = F.array_sort(F.filter(F.map_entries("importances"), lambda e: e["value"].isNotNull()), larger_first)
+    out = matches.withColumns({
+        "top_evidence": F.slice(F.coalesce("evidence", F.expr("array()").cast(matches.schema["evidence"].dataType)), 1, top),
+        "top_features": F.coalesce(F.slice(ranked, 1, top), F.expr("array()").cast("array<struct<key:string,value:double>>"))})
+    proof = F.transform("top_evidence", lambda e: F.concat(e["metric"], F.lit(" "), F.coalesce(e["observed"], F.lit("?")),
+                                                           F.coalesce(F.concat(F.lit(" ("), e["threshold"], F.lit(")")), F.lit(""))))
+    drift = F.transform("top_features", lambda e: F.format_string("%s %+.1f sd", e["key"], e["value"]))
+    text = F.concat_ws(
+        "\n", F.format_string("%s: two layers agree, joint confidence %.1f%%", "flow_key", 100 * F.col("joint_confidence")),
+        F.format_string("rule %s at %.1f%%, %s", "category", 100 * F.col("rule_confidence"), F.coalesce("mitre_ref", F.lit("no technique"))),
+        F.when(F.size(proof) > 0, F.concat(F.lit("  seen: "), F.array_join(proof, "; "))),
+        F.format_string("model %s with score %.3f", "detector_type", "ml_score"),
+        F.when(F.size(drift) > 0, F.concat(F.lit("  off: "), F.array_join(drift, ", "))))
+    return out.withColumn("cross_layer", text)
 
 
 def packets_before(packets, alerts, n: int = 200, min_severity: int = 4, hot_rows=None, parts=None) -> DataFrame:

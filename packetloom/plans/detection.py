@@ -114,12 +114,15 @@ def suppressed(spark, d):
     return D.whitelist_suppressed(B.packets(spark, d), B.dns_queries(spark, d), RULES)
 
 
-@query("detect_ids_stats", with_("packets", f"""al as ({SQL['ttl_anomaly'][2]} union all {SQL['proto_anomaly'][2]})
+@query("detect_ids_stats", with_("packets dns arp", SCAN + f""", al as ({SQL['ttl_anomaly'][2]} union all {SQL['proto_anomaly'][2]})
  select_final (select count(*) from packets) as packets_analyzed, (select count(distinct src_ip) from packets where protocol = 'TCP' and (tcp_flags = 0 or tcp_flags & 41 > 0 or (tcp_flags & 2 > 0 and tcp_flags & 16 = 0))) as tracked_sources,
- count(*) as threats_detected, count(*) filter (severity = 1) as info, count(*) filter (severity = 2) as low, count(*) filter (severity = 3) as medium, count(*) filter (severity = 4) as high, count(*) filter (severity = 5) as critical from al"""))
+ count(*) as threats_detected, count(*) filter (severity = 1) as info, count(*) filter (severity = 2) as low, count(*) filter (severity = 3) as medium, count(*) filter (severity = 4) as high, count(*) filter (severity = 5) as critical,
+ (select count(*) from sn where n >= 3 and {_NET})::bigint + (select count(*) from packets where ttl between 1 and 5 and dst_ip = '192.168.1.3') + (select count(*) from dns where ends_with(lower(name), 'google.com')) as whitelist_suppressed,
+ (select count(distinct sender_ip) from arp where opcode = 2) as arp_table_size from al"""))
 def stats(spark, d):
     p = B.packets(spark, d)
-    return D.ids_stats(p, D.ttl_anomaly(p, RULES).unionByName(D.proto_anomaly(p, RULES)))
+    found = D.ttl_anomaly(p, RULES).unionByName(D.proto_anomaly(p, RULES))
+    return D.ids_stats(p, found, D.whitelist_suppressed(p, B.dns_queries(spark, d), RULES), B.arp(spark, d))
 
 
 @query("detect_scan_methods", with_("packets", f"""k as (select pkt_id, src_ip, ts_us, case when tcp_flags & 2 > 0 and tcp_flags & 16 = 0 then 'SYN' when tcp_flags = 1 then 'FIN' when tcp_flags & 41 > 0 then 'XMAS' when tcp_flags = 0 then 'NULL' end as t from packets where protocol = 'TCP')

@@ -39,9 +39,9 @@ CTES = {
     "alerts": f"""alerts as (select event_id as alert_id, ts_us, cast(1 + k % 5 as int) as severity,
  ([{', '.join(repr(c) for c in CATEGORIES)}])[1 + k % {len(CATEGORIES)}] as category, concat('10.0.0.', cast(user_id as varchar)) as source_ip,
  concat('192.168.1.', cast(k % 16 as varchar)) as dest_ip, cast(20 + k as int) as dest_port, (k % 10) / 10 as confidence,
- concat(category, ' seen from user ', cast(user_id as varchar)) as description from ev where (event_id + k) % 4 = 0)""",
+ concat(category, ' seen from user ', cast(user_id as varchar)) as description from ev)""",
     "ml": """ml as (select event_id as ml_id, ts_us, concat('10.0.0.', cast(user_id as varchar)) as flow_key,
- least(1.0e0, value / 400) as anomaly_score, 'iforest' as detector_type from ev where (event_id + k) % 4 = 1)""",
+ least(1.0e0, value / 400) as anomaly_score, 'iforest' as detector_type from ev)""",
     "beats": """beats as (select concat('node-', cast(user_id as varchar)) as node_id, ts_us, value as uptime, event_id as packets_sent from ev)""",
     "env": """env as (select event_id as env_id, concat('peer-', cast(user_id as varchar)) as sender_id, ts_us as recv_ts_us,
  event_id + k * 20 as seq, ts_us - k * 500000 as sent_ts_us from ev)""",

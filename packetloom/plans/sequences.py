@@ -72,6 +72,34 @@ def rule_ml(spark, d):
     return J.correlated_alerts(*rule_and_ml(spark, d), window_us=3_000_000)
 
 
+def with_reasons(spark, d):
+    """The same alerts with evidence, technique and deviations."""
+    factor = lambda m, o, t, w: F.struct(F.lit(m).alias("metric"), o.cast("string").alias("observed"), F.lit(t).alias("threshold"), F.lit(w).alias("weight"))
+    a = B.alerts(spark, d)
+    rules = a.select(F.col("source_ip").alias("flow_key"), "ts_us", F.col("alert_id").alias("seq"), "category", "confidence",
+                     F.array(factor("port", F.col("dest_port"), "threshold: 25", 0.6), factor("severity", F.col("severity"), None, 0.4)).alias("evidence"),
+                     F.concat(F.lit("T"), F.col("severity").cast("string")).alias("mitre_ref"))
+    ml = B.ml_alerts(spark, d)
+    off = F.create_map(F.lit("score"), F.col("anomaly_score") * 4 - 2, F.lit("half"), F.col("anomaly_score") / 2, F.lit("age"), (F.col("ml_id") % 7 - 3).cast("double"),
+                       F.lit("none"), F.lit(None).cast("double"), F.lit("turn"), (3 - F.col("ml_id") % 7).cast("double"))
+    return rules, ml.select("flow_key", "ts_us", F.col("ml_id").alias("seq"), "anomaly_score", "detector_type", off.alias("importances"))
+
+
+@query("join_cross_layer", with_("alerts ml", ARRIVALS_SQL + """, cl as (select v.*, last_value(case when kind = 1 then seq end ignore nulls) over w as ml_id, last_value(case when kind = 0 then seq end ignore nulls) over w as rule_id
+   from v window w as (partition by flow_key order by ts_us, kind, seq rows between unbounded preceding and current row)),
+ cm as (select cl.flow_key, cl.ts_us, cl.kind, cl.seq, dest_port, severity, mscore, ml_id from cl join alerts on alert_id = rule_id where abs(rule_ts_us - ml_ts_us) <= 3000000),
+ ce as (select flow_key, ts_us, kind, seq, unnest(['score', 'half', 'age', 'turn']) as f, unnest([mscore * 4 - 2, mscore / 2, ml_id % 7 - 3.0e0, 3.0e0 - ml_id % 7]) as x from cm),
+ cr as (select *, row_number() over (partition by flow_key, ts_us, kind, seq order by abs(x) desc, f) as i from ce),
+ cg as (select flow_key, ts_us, kind, seq, string_agg(f, ',' order by i) as features, arg_min(x, i) as furthest from cr where i <= 3 group by all)
+ select_final flow_key, ts_us, kind, seq, features, furthest, 'port ' || dest_port || ' (threshold: 25); severity ' || severity as seen, 'T' || severity as technique from cm join cg using (flow_key, ts_us, kind, seq)""", "furthest"))
+def cross_layer(spark, d):
+    out = J.cross_layer(J.correlated_alerts(*with_reasons(spark, d), window_us=3_000_000))
+    seen = F.regexp_extract("cross_layer", "\n  seen: ([^\n]*)\n", 1)
+    technique = F.regexp_extract("cross_layer", "\nrule [^\n]*, (T[0-9])\n", 1)
+    return out.select("flow_key", "ts_us", "kind", "seq", F.array_join(F.transform("top_features", lambda e: e["key"]), ",").alias("features"),
+                      F.col("top_features")[0]["value"].alias("furthest"), seen.alias("seen"), technique.alias("technique"))
+
+
 @query("join_packets_before_alert", with_("packets alerts", """n as (select pkt_id, ts_us, row_number() over (order by ts_us, pkt_id) as rn from packets),
  a as (select alert_id, (select count(*) from packets p where p.ts_us <= alerts.ts_us) as last from alerts where severity >= 4)
  select_final alert_id, pkt_id, ts_us, last - rn + 1 as age from a join n on rn between last - 19 and last"""))

@@ -153,11 +153,11 @@ def icmp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alert records spread over all categories, one in four events."""
+    """Alert records spread over all categories, one for every event."""
     cats = F.array(*[F.lit(c) for c in CATEGORIES])
     k, eid = F.col("k"), F.col("event_id")
     cat = F.element_at(cats, (1 + k % len(CATEGORIES)).cast("int"))
-    return events(spark, sf_dir).filter((eid + k) % 4 == 0).select(
+    return events(spark, sf_dir).select(
         eid.alias("alert_id"), "ts_us", (1 + k % 5).cast("int").alias("severity"),
         cat.alias("category"),
         F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("source_ip"),
@@ -169,9 +169,9 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, eid = F.col("k"), F.col("event_id")
-    return events(spark, sf_dir).filter((eid + k) % 4 == 1).select(
-        eid.alias("ml_id"), "ts_us",
+    """A model's view of every event."""
+    return events(spark, sf_dir).select(
+        F.col("event_id").alias("ml_id"), "ts_us",
         F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("flow_key"),
         F.least(F.lit(1.0), F.col("value") / 400).alias("anomaly_score"),
         F.lit("iforest").alias("detector_type"),
