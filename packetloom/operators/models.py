@@ -563,3 +563,21 @@ def retrain_with_feedback(training: DataFrame, hostile: DataFrame, names: list[s
     stats = fit_zscore(both, names)
     scaled = with_vector(apply_zscore(both, stats, names), names)
     return stats, fit_forest(scaled, row_id, trees=trees, seed=seed)
+
+
+def false_alarms(levels: DataFrame, hot_rows=None, parts=None) -> DataFrame:
+    """Flows that went from HOSTILE back to BASELINE: ``flow_key, ts_us, row_id, score`` of the window that ended the alarm and
+    ``windows``, how many were scored while it lasted. ``levels``: the rows of ``threat_levels``."""
+    hostile = F.col("from_level") == "HOSTILE"
+    rise = ((F.col("to_level") == "HOSTILE") & ~hostile).cast("int")
+    run = OrderedGroups(levels, ["flow_key"], ["ts_us", "forced", "row_id"], hot_rows, parts).running(_alarm=Running("sum", rise)).df
+    ended = hostile & (F.col("to_level") == "BASELINE")
+    out = run.filter(hostile).groupBy("flow_key", "_alarm").agg(
+        F.max(F.when(ended, F.struct("ts_us", "row_id", "score"))).alias("end"), F.count(F.when(F.col("forced") == 0, 1)).alias("windows"))
+    return out.filter(F.col("end").isNotNull()).select("flow_key", "end.*", "windows")
+
+
+def conformal_with_feedback(calibration: DataFrame, alarms: DataFrame, test: DataFrame, **kw) -> DataFrame:
+    """Conformal p-values after false alarms: every window of one counts as a normal with the score the alarm ended on."""
+    told = alarms.select(F.col("score"), F.explode(F.sequence(F.lit(1).cast("bigint"), "windows"))).select("score")
+    return conformal_pvalues(calibration.select("score").unionByName(told), test, **kw)

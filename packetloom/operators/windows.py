@@ -126,6 +126,7 @@ def online_pvalue(scores, n: int = 500, epsilon: float = 0.05, hot_rows=None, pa
     def step(state, score):
         recent, ranked = state
         known = len(ranked)
+        score = None if score is None or score != score else score  # nulls arrive as not-a-number
         at_least = 0 if score is None else known - bisect_left(ranked, score)
         recent.append(score)
         if score is not None:

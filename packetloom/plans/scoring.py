@@ -7,6 +7,7 @@ from packetloom.operators import folds as X
 from packetloom.operators import models as M
 from packetloom.plans.oracle_base import with_
 from packetloom.plans.registry import query
+from packetloom.plans.state import _L, level_scores
 from packetloom.sources import bindings as B
 
 NAMES = ["size", "dst_port", "tcp_flags", "ttl"]
@@ -214,3 +215,17 @@ def forest_flags(spark, d):
     share = F.avg("predicted")
     return f.agg(((share > 0.08) & (share < 0.12)).alias("share_kept"), (
         F.min(F.when(F.col("predicted") == 1, F.col("score"))) >= F.max(F.when(F.col("predicted") == 0, F.col("score")))).alias("flagged_score_highest"))
+
+
+@query("model_false_alarm_feedback", with_("scores", _L + """, ep as (select *, sum(case when to_level = 'HOSTILE' and from_level <> 'HOSTILE' then 1 else 0 end) over (partition by flow_key order by ts_us, forced, row_id) as e from lx),
+ fa as (select count(*) filter (forced = 0) as n, max(score) filter (to_level = 'BASELINE') as score from ep where from_level = 'HOSTILE' group by flow_key, e),
+ cb as (select least(1.0e0, score * 3) as score from scores where y = 0 and row_id % 3 = 0 union all select score from (select score, unnest(range(n)) from fa where score is not null)),
+ te as (select row_id, y, least(1.0e0, score * 3) as score from scores where not (y = 0 and row_id % 3 = 0)),
+ pv as (select te.*, (select count(*) from cb where cb.score >= te.score) as ge, (select count(*) from cb) as n from te)
+ select_final row_id, y, score, (ge + 1) / (n + 1) as p_value, n as calibration_size, (ge + 1) / (n + 1) <= 0.05 as is_anomaly, 1 - (ge + 1) / (n + 1) as confidence from pv""",
+       "score p_value confidence", recursive=True))
+def false_alarm_feedback(spark, d):
+    s = level_scores(spark, d)
+    alarms = M.false_alarms(X.threat_levels(s))
+    calibration = (F.col("y") == 0) & (F.col("row_id") % 3 == 0)
+    return M.conformal_with_feedback(s.filter(calibration), alarms, s.filter(~calibration).select("row_id", "y", "score"))
