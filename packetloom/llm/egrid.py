@@ -37,6 +37,10 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     d = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v"))
     d = d.withColumn("v", F.when(F.col("v").isNotNull() & ~bad, F.col("v")))
+    # squares of very large or very small components leave the range of doubles; such vectors are compared by direction at scale 1
+    d = d.withColumn("_most", F.array_max(F.transform("v", lambda x: F.abs(x))))
+    extreme = (F.col("_most") > 1e100) | (F.col("_most") < 1e-100)
+    d = d.withColumn("v", F.when(extreme & (F.col("_most") > 0), F.transform("v", lambda x: x / F.col("_most"))).otherwise(F.col("v"))).drop("_most")
     d = d.withColumn("v", F.when((size > 0) & (size < float("inf")), F.col("v")))
     return d.withColumn("key", F.md5(F.to_json(F.struct("v")))).withColumn("key", F.when(F.col("v").isNotNull(), F.col("key")))
 

@@ -190,10 +190,11 @@ def test_embeddings(spark):
     vectors = [rng.normal(size=8).tolist() for _ in range(60)]
     for _ in range(300):
         vectors.append((np.array(vectors[rng.integers(0, 60)]) + rng.normal(size=8) * rng.choice([0, 0.05, 0.2])).tolist())
-    odd = [None, [], [0.0] * 8, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [1.0, 2.0], [2.0, 4.0]]
+    odd = [None, [], [0.0] * 8, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [1.0, 2.0], [2.0, 4.0],
+           [1e200] * 8, [1e200] * 8, [3e-200] + [0.0] * 7, [7e-300] + [0.0] * 7, [5e-324] * 8, [1.0] * 8, [1e308, -1e308] * 4]
     rows = list(enumerate(vectors + odd)) + [(3, vectors[3])]
     df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<double>, n_links int, kept int")
-    good = [(k, np.array(v)) for k, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(k, np.array(v) / np.abs(v).max()) for k, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)]
     near = [(a, b) for n, (a, x) in enumerate(good) for b, y in good[n + 1 :] if len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.95]
     count = Counter(k for pair in near for k in pair)
     root = reachable(range(len(rows)), near)
