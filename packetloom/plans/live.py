@@ -11,6 +11,7 @@ from packetloom.plans.sequences import _MATCH_COLS, _MATCH_D, ARRIVALS_SQL, rule
 from packetloom.plans.state import _BUCKET, _CONN, _L, _SERIES, _Z, level_scores, node_series
 from packetloom.plans.traffic import _FLOW14_D, _FLOW14_SQL, _WIN_D, _feature_sql
 from packetloom.sources import bindings as B
+from packetloom.sources import packets as P
 from packetloom.streaming import streams as X
 
 
@@ -82,6 +83,22 @@ def incidents(spark, d):
     return drained(spark, X.stream_incidents(live(spark, a), gap_s=20))
 
 
+@query("stream_alert_rate", with_("alerts", """select ts_us - ts_us % 60000000 as window_start_us, count(*) as alerts, count(*) filter (severity >= 4) as high_or_worse from alerts
+ group by 1 having ts_us - ts_us % 60000000 + 60000000 <= (select max(ts_us) - 10000000 from alerts)"""))
+def alert_rate(spark, d):
+    return drained(spark, X.stream_alert_rate(in_turn(spark, B.alerts(spark, d).select("alert_id", "ts_us", "severity"))))
+
+
+@query("src_packet_stream", with_("packets", "select pkt_id, ts_us, node_id, src_ip, dst_ip, src_port, dst_port, protocol, size, tcp_flags, ttl from packets"))
+def packet_stream(spark, d):
+    """Packets land as files of several sensors and are drained batch by batch."""
+    path = scratch(spark)
+    packets = B.packets(spark, d).select(*P.PACKETS.fieldNames())
+    packets.repartition(4, "node_id").write.parquet(path)
+    return drained(spark, P.packet_stream(spark, path, files_per_trigger=2)).select(
+        "pkt_id", "ts_us", "node_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "size", "tcp_flags", "ttl")
+
+
 @query("stream_correlated", with_("alerts ml", ARRIVALS_SQL + f" select_final {_MATCH_COLS} from v where abs(rule_ts_us - ml_ts_us) <= 3000000 and {closed('ts_us', 'select max(ts_us) from v')}", _MATCH_D))
 def correlated(spark, d):
     rules, ml = rule_and_ml(spark, d)

@@ -57,6 +57,12 @@ def stream_incidents(alerts: DataFrame, gap_s: int = 60, delay: str = "10 second
     return s.withColumns({"attack_chain": chain, "severity": severity}).drop("session", "worst")
 
 
+def stream_alert_rate(alerts: DataFrame, seconds: int = 60, delay: str = "10 seconds") -> DataFrame:
+    """Alerts per window and the severe ones among them, once the window is closed."""
+    a = timed(alerts, delay).withColumn("window", F.window("ts", f"{seconds} seconds"))
+    return _closed(a.groupBy("window").agg(F.count(F.lit(1)).alias("alerts"), F.count(F.when(F.col("severity") >= 4, 1)).alias("high_or_worse")))
+
+
 def stream_score(features: DataFrame, stats: dict[str, tuple[float, float]], forest: Forest) -> DataFrame:
     """Score closed windows with a fitted model: stateless, one Arrow pass per batch."""
     z = {n: (F.col(n) - F.lit(m)) / F.lit(s) for n, (m, s) in stats.items()}
