@@ -150,4 +150,4 @@ def test_level_machine(spark):
 def test_explanation_names_everything(spark):
     p = spark.createDataFrame([packet(1, 1, ttl=3)], PACKET)
     text = D.alert_explanation(D.detect_all(packets=p, rules=OPEN)).filter(F.col("category") == "TTL_ANOMALY").first().full_explanation
-    assert text.startswith("[LOW] TTL_ANOMALY") and "MITRE: T1090.003" in text and "-> Ask whether a proxy" in text
+    assert text.startswith("[LOW] TTL_ANOMALY") and "MITRE: T1090.003" in text and "-> watch 10.0.0.1" in text and "-> compare with T1090.003" in text
