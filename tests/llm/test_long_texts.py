@@ -1,7 +1,6 @@
 """One unbroken line of a megabyte through every per-text operator, and the linear line rules against their plain forms."""
 
 import random
-import re
 import string
 import time
 
@@ -70,4 +69,4 @@ def test_contexts_of_any_length():
     text = "x" * 300 + " " + "y" * 300 + " z12345, w99999"
     assert pii.Contexts(text).before(text.index("z1")) == "x" * 300 + " " + "y" * 300
     assert pii.Contexts("one two").before(4) == "" and pii.Contexts("a b c,d").before(6) == "a b"
-    assert pii.candidates("(ab12345), x", []) == [(m.start(), m.end()) for m in re.finditer("ab12345", "(ab12345), x")]
+    assert list(pii.Contexts("a b (ab12345), x").at([5, 7, 15])) == [(0, "a b", "ab12345"), (2, "b (ab12345),", "x")]
