@@ -415,5 +415,5 @@ def evidence_windows(spark, d):
     from packetloom.operators.joins import packets_before
 
     path = scratch(spark)
-    K.write_evidence(packets_before(B.packets(spark, d), B.alerts(spark, d), n=200, min_severity=5), path)
+    K.write_evidence(packets_before(B.packets(spark, d), B.alerts(spark, d), n=200, min_severity=5), path, clustered=True)
     return spark.read.parquet(path).groupBy("alert_id").agg(F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("from_us"), F.max("ts_us").alias("to_us"))

@@ -21,9 +21,11 @@ def write_alerts(alerts: DataFrame, path: str, fmt: str = "parquet") -> None:
     alerts.write.mode("append").partitionBy("category").format(fmt).save(path)
 
 
-def write_evidence(evidence: DataFrame, path: str) -> None:
-    """Write the packets around each alert; rows cluster by alert, no file per alert."""
-    evidence.repartition("alert_id").sortWithinPartitions("alert_id", "age").write.mode("append").parquet(path)
+def write_evidence(evidence: DataFrame, path: str, clustered: bool = False) -> None:
+    """Write the packets around each alert; rows cluster by alert, no file per alert. ``clustered`` says that the
+    rows of an alert come together and by age already, as from ``packets_before``; they are then written as they come."""
+    rows = evidence if clustered else evidence.repartition("alert_id").sortWithinPartitions("alert_id", "age")
+    rows.write.mode("append").parquet(path)
 
 
 # ---- audit chain ------------------------------------------------------------------------------

@@ -1,13 +1,14 @@
-"""Work that grows with its input: stretches of a hot key."""
+"""Work that grows with its input: stretches of a hot key, evidence without shuffled pairs."""
 
 import random
 
 from helpers import rows
 from pyspark.sql import functions as F
 
+from packetloom.operators import joins as J
 from packetloom.operators import ordered
 from packetloom.operators.ordered import sliding_sums
-
+from packetloom.sources import sinks as K
 
 def test_a_hot_key_is_summed_by_stretches_of_time(spark, monkeypatch):
     rng = random.Random(4)
@@ -24,3 +25,21 @@ def test_a_hot_key_is_summed_by_stretches_of_time(spark, monkeypatch):
     monkeypatch.setattr(ordered, "durable", lambda _: 1 / 0)  # no copy of the rows
     assert rows(sliding_sums(df, ["k"], "t", "s", 10, sums, 200)) == rows(sliding_sums(df, ["k"], "t", "s", 10, sums, True)) == plain
     assert cut == rows(sliding_sums(known, ["k"], "t", "s", 10, sums, 200))
+
+
+def test_evidence_is_paired_after_the_last_shuffle(spark, tmp_path):
+    rng = random.Random(5)
+    p = [(k, rng.randrange(900)) for k in range(700)]
+    a = [(k % 60, rng.randrange(-20, 1000), rng.randrange(3, 6)) for k in range(80)]  # some ids come twice
+    packets, alerts = spark.createDataFrame(p, "pkt_id long, ts_us long"), spark.createDataFrame(a, "alert_id long, ts_us long, severity int")
+    found = J.packets_before(packets, alerts, 30, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan.split("Generate inline")[0] and "Join" not in plan.split("Generate inline")[0]
+    K.write_evidence(found, str(tmp_path / "e"), clustered=True)
+    got = rows(spark.read.parquet(str(tmp_path / "e")).select("alert_id", "pkt_id", "ts_us", "age"))
+    inside = sorted((t, k) for k, t in p)
+    want = []
+    for alert, at, severity in a:
+        if severity >= 4:
+            want += [(age, alert, k, t) for age, (t, k) in enumerate([x for x in inside if x[0] <= at][::-1][:30], 1)]
+    assert got == sorted(want, key=repr)
