@@ -1,5 +1,7 @@
 """Streaming queries: the given tables land as files, a stream drains them into a table."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from packetloom.operators import aggregates as A
@@ -22,9 +24,17 @@ def live(spark, df):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def in_turn(spark, *tables, batches=4, late=None):
-    """Streams of one file, so one micro-batch, for each of ``batches`` equal spans of time. One row in ten of the last five seconds
-    of a span comes with the next one only, and the rows ``late`` chooses with the last one."""
+#: Rows a file of a landed batch holds, more or less.
+FILE_ROWS = 250_000
+
+
+def in_turn(spark, *tables, batches=4, late=None, file_rows=FILE_ROWS):
+    """Streams of one micro-batch for each of ``batches`` equal spans of time. One row in ten of the last five seconds
+    of a span comes with the next one only, and the rows ``late`` chooses with the last one.
+
+    Every batch of a table lands as equally many files, written in parallel; where there are fewer, files without rows
+    make up the number, so that a micro-batch never takes files of the next span.
+    """
     low, high = tables[0].select("ts_us").unionByName(tables[-1].select("ts_us")).agg(F.min("ts_us"), F.max("ts_us")).first()
     streams = []
     for df in tables:
@@ -32,9 +42,13 @@ def in_turn(spark, *tables, batches=4, late=None):
         at = F.least(F.floor((F.col("ts_us") - low) / span), F.lit(batches - 1))
         slow = (F.col("ts_us") % 10 == 0) & (F.col("ts_us") - low >= (at + 1) * span - 5_000_000) & (at < batches - 1)
         at = F.when(F.lit(False) if late is None else late, batches - 1).otherwise(at + slow.cast("int"))
+        files = max(1, math.ceil(df.count() / batches / file_rows))
+        nothing = spark.createDataFrame([], df.schema).coalesce(1)
         for k in range(batches):
-            df.filter(at == k).coalesce(1).write.mode("append").parquet(path)
-        streams.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path))
+            df.filter(at == k).coalesce(files).write.mode("append").parquet(path)
+            for _ in range((k + 1) * files - len(spark.read.schema(df.schema).parquet(path).inputFiles())):
+                nothing.write.mode("append").parquet(path)
+        streams.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path))
     return streams[0] if len(streams) == 1 else streams
 
 

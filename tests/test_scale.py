@@ -1,4 +1,4 @@
-"""Work that grows with its input: stretches of a hot key, evidence without shuffled pairs."""
+"""Work that grows with its input: stretches of a hot key, evidence without shuffled pairs, batches of many files."""
 
 import random
 
@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from packetloom.operators import joins as J
 from packetloom.operators import ordered
 from packetloom.operators.ordered import sliding_sums
+from packetloom.plans.live import in_turn
 from packetloom.sources import sinks as K
 
+SECOND = 1_000_000
+
+
 def test_a_hot_key_is_summed_by_stretches_of_time(spark, monkeypatch):
     rng = random.Random(4)
     data = [(rng.choice(["a", "a", "b", None]), rng.choice([rng.randrange(-2000, 2000), 160 * rng.randrange(-9, 9) + rng.choice([-10, -9, 0])]), k, rng.randrange(5))
@@ -43,3 +47,23 @@ def test_evidence_is_paired_after_the_last_shuffle(spark, tmp_path):
         if severity >= 4:
             want += [(age, alert, k, t) for age, (t, k) in enumerate([x for x in inside if x[0] <= at][::-1][:30], 1)]
     assert got == sorted(want, key=repr)
+
+
+def _batches(spark, data, tmp_path, **kw):
+    seen = []
+    stream = in_turn(spark, spark.createDataFrame(data, "k string, ts_us long, v long").repartition(7), **kw)
+
+    def take(batch, epoch):
+        seen.append(sorted((r.k or "", r.ts_us, r.v) for r in batch.collect()))
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start().awaitTermination()
+    return seen
+
+
+def test_batches_of_many_files_hold_one_span_each(spark, tmp_path):
+    rng = random.Random(6)
+    data = [("a", rng.randrange(100 * SECOND), k) for k in range(400)] + [("b", 0, 401), ("b", 400 * SECOND, 402)]  # the spans after the first are all but empty
+    seen = _batches(spark, data, tmp_path, file_rows=20)
+    assert len(seen) == 4 and sum(map(len, seen)) == 402
+    assert [len({v for _, _, v in b}) for b in seen[1:]] == [len(seen[1]), 0, 1] and seen[3] == [("b", 400 * SECOND, 402)]
+    assert all(ts % 10 == 0 for _, ts, _ in seen[1])
