@@ -1,4 +1,4 @@
-"""Work that grows with its input: stretches of a hot key, evidence without shuffled pairs, batches of many files."""
+"""Work that grows with its input: stretches of a hot key, evidence without shuffled pairs, folds by buckets, batches of many files."""
 
 import random
 
@@ -10,6 +10,7 @@ from packetloom.operators import ordered
 from packetloom.operators.ordered import sliding_sums
 from packetloom.plans.live import in_turn
 from packetloom.sources import sinks as K
+from packetloom.streaming import streams as X
 
 SECOND = 1_000_000
 
@@ -67,3 +68,26 @@ def test_batches_of_many_files_hold_one_span_each(spark, tmp_path):
     assert len(seen) == 4 and sum(map(len, seen)) == 402
     assert [len({v for _, _, v in b}) for b in seen[1:]] == [len(seen[1]), 0, 1] and seen[3] == [("b", 400 * SECOND, 402)]
     assert all(ts % 10 == 0 for _, ts, _ in seen[1])
+
+
+def test_folds_of_many_keys_share_processors(spark, tmp_path):
+    rng = random.Random(7)
+    keys = [f"k{i}" for i in range(60)] + [None]
+    data = [(rng.choice(keys), rng.randrange(200 * SECOND), k) for k in range(3000)]
+    stream = in_turn(spark, spark.createDataFrame(data, "k string, ts_us long, v long"), file_rows=100)
+    fold = X.stream_fold(stream, ["k"], ["_position", "v"], lambda s, n, v: (((s or 0) * 31 + v) % 1009, (n, (s or 0))), "n bigint, before bigint", "s bigint",
+                         order=("ts_us", "v"), ttl_s=20, buckets=3)
+    query = X.start(fold.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True))
+    query.awaitTermination()
+    got = sorted((r.k or "", r.ts_us, r.v, r.n, r.before) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    closed, want = (max(t for _, t, _ in data) - 10 * SECOND) // SECOND, []
+    for key in keys:
+        n, s, last = 0, 0, None
+        for _, t, v in sorted((x for x in data if x[0] == key), key=lambda x: x[1:]):
+            if last is not None and t - last > 20 * SECOND:
+                n, s = 0, 0
+            n, last = n + 1, t
+            if t // SECOND < closed:
+                want.append((key or "", t, v, n, s))
+            s = (s * 31 + v) % 1009
+    assert got == sorted(want) and len(got) > 2500
